@@ -1,0 +1,27 @@
+"""Structured Streaming: feeding an engine's streams from streaming DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.engine import Engine
+
+
+def feed(engine: Engine, stream: str, df: DataFrame, checkpoint: str, targets: list[str] | None = None, **trigger) -> StreamingQuery:
+    """Writes each micro-batch of df to the engine's stream. trigger: as of DataStreamWriter.trigger.
+
+    A batch that is tried again after a failure has its id, so views that keep their state in tables add it once.
+    The id has the checkpoint's place in it: another checkpoint is another source.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        engine.insert(stream, batch, targets=targets, batch_id=f"{checkpoint}#{number}")
+
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def forward(engine: Engine, stream: str):
+    """A foreachBatch function that inserts a table's new rows into a stream."""
+    return lambda batch, number: engine.insert(stream, batch, batch_id=f"forward#{number}")
