@@ -105,11 +105,11 @@ def fingerprints(texts: list[bytes] | pa.Array, k: int = K) -> tuple[list[str],
     data, at = raw(column)
     root, kept = parse(data, at)
     out, sketches = [], []
-    small = [((x >> U(32)).astype(">u4"), a) for x, a in kept]
+    small = [((x >> U(32)).astype(np.uint32), a) for x, a in kept]
     for i, name in enumerate(root.tolist()):
         s = np.unique(np.concatenate([x[a[i] : a[i + 1]] for x, a in small]))[:k]
         sketches.append(s)
-        out.append(f"{name:016x}" + s.tobytes().hex())
+        out.append(f"{name:016x}" + s.astype(">u4").tobytes().hex())
     return out, sketches
 
 
