@@ -50,16 +50,19 @@ def sainte_lague(t: DataFrame, group: list[str], key: list[str], weight: str, se
 
     Rounding all shares at one divisor is an apportionment by this method for the seats it happens to give; the
     few seats by which that is off, half of the rows at most, then go to (or come from) the highest (lowest)
-    quotients. So no quotient is listed for most seats. Ties go by key. Rows of weight 0 get none.
+    quotients. So no quotient is listed for most seats. Of equal quotients the first key's is the higher. Rows of
+    weight 0 get none, and with no weight at all nobody gets any.
     """
     g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    share = F.coalesce(F.col(weight) / F.sum(weight).over(g), F.lit(0.0)) * F.col(seats)
+    whole = F.sum(weight).over(g)
+    share = F.when(whole > 0, F.col(weight) / whole * F.col(seats)).otherwise(0.0)
     t = t.withColumn("_q", F.floor(share + 0.5).cast("long"))
     t = t.withColumn("_off", (F.col(seats) - F.sum("_q").over(g)).cast("int"))
     more = F.when(F.col(weight) > 0, F.expr("case when _off > 0 then sequence(_q, _q + _off - 1) when _off < 0 and _q > 0 then sequence(_q - 1, greatest(_q + _off, 0L), -1L) else array() end")).otherwise(F.expr("array()").cast("array<bigint>"))
     cand = t.select(*group, *key, "_off", F.explode(more.cast("array<bigint>")).alias("_s"), F.col(weight).alias("_w")).withColumn("_quot", F.col("_w") / (2 * F.col("_s") + 1))
-    first = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.when(F.col("_off") > 0, -F.col("_quot")).otherwise(F.col("_quot")), *key, "_s")
-    won = cand.withColumn("_r", F.row_number().over(first)).where("_r <= abs(_off)").groupBy(*group, *key).agg(F.sum(F.signum("_off")).cast("long").alias("_more"))
+    high = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("_quot"), *key, "_s")
+    low = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_quot", *[F.desc(c) for c in key], F.desc("_s"))
+    won = cand.withColumn("_r", F.when(F.col("_off") > 0, F.row_number().over(high)).otherwise(F.row_number().over(low))).where("_r <= abs(_off)").groupBy(*group, *key).agg(F.sum(F.signum("_off")).cast("long").alias("_more"))
     return t.join(won, [*group, *key], "left").withColumn(out, F.col("_q") + F.coalesce("_more", F.lit(0))).drop("_q", "_off", "_more")
 
 
@@ -104,6 +107,7 @@ def repeat_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id")
     """
     ws = Workspace(docs.sparkSession, "times")
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    times = hinted(ws.keep(taken.select(F.col(id_col).alias("_id"), n.alias("_n")).dropDuplicates(["_id"]).where("_n <> 1"), "times"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]), "left").withColumn("_n", F.coalesce("_n", F.lit(1))).where("_n > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    times = ws.keep(taken.select(F.col(id_col).alias("_id"), n.alias("_n")).dropDuplicates(["_id"]).where("_n <> 1"), "times")
+    n = F.coalesce(times["_n"], F.lit(1))
+    out = docs.join(hinted(times), docs[id_col].eqNullSafe(times["_id"]), "left").where(n > 0)
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias("_copy")).select(*[docs[c] for c in docs.columns])
