@@ -84,8 +84,9 @@ def bloom_bits(bloom) -> Column:
 def bloom_cardinality(bloom, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
     """About how many different values were added: -m ln(1 - bits / m) / k; 0 for null."""
     m, k = bloom_shape(p, n)
-    bits = F.least(bloom_bits(bloom).cast("double"), F.lit(float(m - 1)))
-    return F.coalesce(F.round(-float(m) * F.log(1 - bits / m) / k), F.lit(0.0)).cast("long")
+    bits = bloom_bits(bloom).cast("double")
+    estimate = F.round(-float(m) * F.log(1 - F.least(bits, F.lit(float(m - 1))) / m) / k)
+    return F.coalesce(F.when(bits.isNotNull(), estimate), F.lit(0.0)).cast("long")
 
 
 # frequent items
@@ -112,7 +113,7 @@ def dist_quantile(dist, q: float) -> Column:
 
 
 def dist_cdf(dist, x) -> Column:
-    """The share of values up to x."""
+    """The share of values up to x, a constant."""
     d, x = expr(dist), expr(x).cast("double")
     return F.when(d["n"] > 0, F.when(x < d["low"], 0.0).when(x >= d["high"], 1.0).otherwise(F.call_function("kll_sketch_get_rank_double", d["sketch"], x)))
 

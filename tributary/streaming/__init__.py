@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
@@ -25,3 +27,8 @@ def feed(engine: Engine, stream: str, df: DataFrame, checkpoint: str, targets: l
 def forward(engine: Engine, stream: str):
     """A foreachBatch function that inserts a table's new rows into a stream."""
     return lambda batch, number: engine.insert(stream, batch, batch_id=f"forward#{number}")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (one machine), a temporary one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tributary-")).rstrip("/")
