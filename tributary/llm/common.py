@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 3 << 20
+PARITY_ROWS = 4096
 U = np.uint64
 _C1, _C2, GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -176,6 +177,21 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.concatenate(parts) if parts else np.zeros(0, U), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def parities(values: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap for each list of hashes, as bits / 64 words: a bit is set if an odd number of its hashes fall on it.
+
+    Two lists' bitmaps differ in no more bits than there are values in one list only, so the number of differing
+    bits bounds that difference from below, whatever the hashes are.
+    """
+    n = len(at) - 1
+    if n > PARITY_ROWS:
+        parts = [(i, min(i + PARITY_ROWS, n)) for i in range(0, n, PARITY_ROWS)]
+        return np.concatenate([parities(values[at[i] : at[j]], at[i : j + 1] - at[i], bits) for i, j in parts])
+    cell = (values >> U(64 - bits.bit_length() + 1)).astype(np.int64) + np.repeat(np.arange(n) * bits, np.diff(at))
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(n, bits // 64)
+
+
 def longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

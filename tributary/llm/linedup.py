@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, U, Workspace, hinted, mix, pack, raw, slices, span_hashes, unpack
+from .common import GOLD, U, Workspace, hinted, longs, mix, pack, parities, raw, slices, span_hashes, unpack
 from .linking import link_by_buckets
 
 TAU, LEAST_BYTES = 2, 24
 PART_BYTES = 16 << 20
+BITS = 128
 _MASK = (1 << 64) - 1
 
 
@@ -110,6 +111,18 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byt
     return [hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())]
 
 
+def pair_parities(lines: list[bytes]) -> np.ndarray:
+    """Each line's bitmap of its pairs of neighbouring bytes, as BITS / 64 words; an edit changes four pairs at most."""
+    size = np.array([len(x) for x in lines], np.int64)
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(U)
+    at = np.concatenate([[0], np.cumsum(size)])
+    inside = np.ones(max(len(data) - 1, 0), bool)
+    cuts = at[1:-1]
+    inside[cuts[(cuts > 0) & (cuts < len(data))] - 1] = False
+    pairs = mix((data[:-1] << U(8) | data[1:]) + U(1))[inside] if len(data) else np.zeros(0, U)
+    return parities(pairs, np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))]), BITS)
+
+
 def _long_lines(b: pa.RecordBatch, least: int):
     data, at = raw(b.column("text"))
     starts, ends, text, number = lines_of(data, at)
@@ -192,10 +205,13 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
             data, starts, ends, _, _ = _long_lines(b, least_bytes)
             view = data.tobytes()
             found = {hashlib.blake2b(x, digest_size=16).digest(): x for x in (view[s:e] for s, e in zip(starts.tolist(), ends.tolist()))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["id", "body"])
+            bits = longs(pair_parities(list(found.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary()), *[pa.array(bits[:, j]) for j in range(BITS // 64)]], ["id", "body", *bit_names])
 
-    body = slim.mapInArrow(bodies, "id binary, body binary").join(hinted(wanted), "id", "left_semi")
-    body = ws.keep(body.groupBy("id").agg(F.first("body").alias("body")), "bodies")
+    bit_names = [f"p{j}" for j in range(BITS // 64)]
+    body = slim.mapInArrow(bodies, "id binary, body binary, " + ", ".join(f"{c} long" for c in bit_names)).join(hinted(wanted), "id", "left_semi")
+    body = ws.keep(body.groupBy("id").agg(*[F.first(c).alias(c) for c in ("body", *bit_names)]), "bodies")
+    members = ws.keep(members.join(body.select("id", F.octet_length("body").alias("size"), *bit_names), "id"), "sized")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,7 +224,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
         near = F.abs(F.octet_length("x") - F.octet_length("y")) <= tau
         return two.where(near).select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary")
 
-    comp, _ = link_by_buckets(ws, members, verify)
+    # tau edits change the length by tau and four pairs of bytes each at most
+    apart = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in bit_names), F.lit(0))
+    comp, _ = link_by_buckets(ws, members, verify, (F.abs(F.col("l.size") - F.col("r.size")) <= tau) & (apart <= 4 * tau))
     named = ws.keep(at.join(comp.withColumnRenamed("id", "line"), "line", "left").select("id", "number", "line", F.coalesce("comp", "line").alias("cls")), "named")
     place = F.struct("id", "number")
     first = ws.keep(named.groupBy("cls").agg(F.min(place).alias("first"), F.min_by("line", place).alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")

@@ -33,34 +33,64 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("id"), F.col("y").alias("comp")).unionByName(e.select(F.col("y").alias("id"), F.col("y").alias("comp")).distinct())
 
 
-def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition=None) -> tuple[DataFrame, DataFrame]:
+#: Rounds in which every id is tried against one hub.
+ROUNDS = 2
+
+
+def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition=None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Components of the ids that share a bucket and pass `verify`.
 
     members: (bucket, id, base, more...), each (bucket, id) once, written already. Two ids of a bucket are a
     candidate pair if one of them is marked base. verify: pairs (a, b) to those that are linked. condition:
     of two rows' payloads (as columns l.* and r.*), what a linked pair always meets.
 
-    First each bucket's members are tried against its smallest base id, which is linear in the rows. Pairs that
-    these links already join need no test; all other pairs of a bucket, those between two components, are
-    tested in full, so no link is lost. Returns (id, comp) of linked ids and the tested links (a, b).
+    In each round every bucket names one base id its hub (at first one that shares most buckets with others) and
+    every id is tried against the hub that it meets in most buckets, one pair for each id. So large groups
+    become a component without their pairs being listed. Pairs that links already join need no test; all other
+    pairs of a bucket, those between two components, are tested in full if they meet the condition, so no link
+    is lost. Returns (id, comp) of linked ids and the tested links (a, b).
     """
-    hubs = ws.keep(members.groupBy("bucket").agg(F.min(F.when(F.col("base"), F.col("id"))).alias("hub"), F.count("*").alias("n")).where("n > 1 and hub is not null").select("bucket", "hub"), "hubs")
-    first = members.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    first = ws.keep(first, "pairs")
-    links = ws.keep(verify(first), "links")
-    comp = ws.keep(connected_components(ws, links), "comp")
-    # only buckets with more than one component hold pairs that are still open
-    shared = members.join(hubs.select("bucket"), "bucket", "left_semi")
-    named = ws.keep(shared.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    slim = members.select("bucket", "id", "base")
+    sizes = ws.keep(slim.groupBy("bucket").agg(F.count("*").alias("n"), F.max("base").alias("any")).where("n > 1 and any").select("bucket", "n"), "sizes")
+    slim = ws.keep(slim.join(sizes, "bucket"), "shared")
+    weight = ws.keep(slim.where("base").groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+    comp = links = None
+    for r in range(rounds):
+        named = slim if comp is None else slim.join(comp, "id", "left")
+        named = named.withColumn("comp", F.col("id") if comp is None else F.coalesce("comp", "id"))
+        if r:
+            # only buckets with more than one component hold pairs that are still open
+            named = ws.keep(named, "named")
+            open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+            named = named.join(open_, "bucket", "left_semi")
+            order = F.struct(F.xxhash64(F.lit(r), "id").alias("weight"), "id", "comp")
+            hubs = named.where("base").groupBy("bucket").agg(F.max(order).alias("hub"))
+        else:
+            order = F.struct("weight", "id", F.col("id").alias("comp"))
+            hubs = named.where("base").join(weight, "id").groupBy("bucket").agg(F.max(order).alias("hub"))
+        met = named.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp")).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("c"))
+        best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+        pairs = ws.keep(best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
+        found = ws.keep(verify(pairs), "links")
+        links = found if links is None else links.unionByName(found)
+        if comp is None:
+            comp = ws.keep(connected_components(ws, found), "comp")
+        elif not found.isEmpty():
+            comp = _joined(ws, comp, found)
+    named = ws.keep(members.join(sizes.select("bucket"), "bucket", "left_semi").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
     open_ = ws.keep(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
     rest = ws.keep(named.join(open_, "bucket", "left_semi"), "rest")
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & (F.col("l.base") | F.col("r.base"))
     if condition is not None:
         on = on & condition
-    cross = rest.alias("l").join(rest.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    cross = ws.keep(cross.join(first, ["a", "b"], "left_anti"), "cross")
+    cross = ws.keep(rest.alias("l").join(rest.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "cross")
     more = ws.keep(verify(cross), "links")
     if not more.isEmpty():
-        stars = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        comp = ws.keep(connected_components(ws, stars.unionByName(more.select("a", "b"))), "comp")
+        comp = _joined(ws, comp, more)
     return comp, links.unionByName(more)
+
+
+def _joined(ws: Workspace, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links."""
+    stars = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    return ws.keep(connected_components(ws, stars.unionByName(links.select("a", "b"))), "comp")

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Workspace, conflicting_ids, hinted, list_array, longs, mix, raw, shingles, slices
+from .common import U, Workspace, conflicting_ids, hinted, list_array, longs, mix, parities, raw, shingles, slices
 from .linking import link_by_buckets
 
 M, R = 14, 3
 LANES = 7
+BITS = 512
 _ODD = mix(np.arange(1, 2 * M * R + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1000, 1000 + 2 * M * R, dtype=U))
 _POW = mix(np.arange(5000, 5000 + R, dtype=U)) | U(1)
@@ -46,7 +47,7 @@ def _features(k: int):
             sig = signatures(sets, at)
             halves = mix((sig.reshape(-1, 2 * M, R) * _POW).sum(axis=2, dtype=U) + np.arange(2 * M, dtype=U))
             lanes = mix(sig).reshape(len(sig), -1, LANES) & U(127)
-            sketch = (lanes << (np.arange(LANES, dtype=U) * U(8))).sum(axis=2, dtype=U)
+            sketch = np.concatenate([parities(sets, at, BITS), (lanes << (np.arange(LANES, dtype=U) * U(8))).sum(axis=2, dtype=U)], axis=1)
             n = np.diff(at)
             ids = [hashlib.blake2b(sets[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             rows = np.arange(len(n) + 1)
@@ -98,7 +99,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keys = ws.keep(keys, "keys")
     twice = ws.keep(keys.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
     members = keys.join(twice, "bucket", "left_semi").distinct().withColumn("base", F.lit(True))
-    sketches = least.select("id", "n", *[F.col("sketch")[j].alias(f"s{j}") for j in range(2 * M * R // LANES)])
+    words, lanes = BITS // 64, 2 * M * R // LANES
+    sketches = least.select("id", "n", *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)])
     members = ws.keep(members.join(sketches, "id"), "members")
 
     wanted = ws.keep(members.select("id").distinct(), "wanted")
@@ -110,15 +112,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t")).where(f"100 * i >= {percent} * (t - i)").select("a", "b")
 
-    # of two linked sets the smaller has percent of the larger at least, and of their min-hashes hardly fewer agree
+    # Of two linked sets the smaller has percent of the larger at least. i >= p u and u = (sum + d) / 2, where d are
+    # in one set only, give d <= (1 - p) / (1 + p) of the sum; bitmaps differ in d bits at most. Of the min-hashes
+    # hardly fewer than p agree.
     size = (100 * F.col("l.n") >= percent * F.col("r.n")) & (100 * F.col("r.n") >= percent * F.col("l.n"))
     lit = lambda x: F.lit(x).cast("long")
     ones, tops = sum(0x7F << (8 * j) for j in range(LANES)), sum(0x80 << (8 * j) for j in range(LANES))
-    differ = sum((F.bit_count((F.col(f"l.s{j}").bitwiseXOR(F.col(f"r.s{j}")) + lit(ones)).bitwiseAND(lit(tops))) for j in range(2 * M * R // LANES)), lit(0))
+    apart = sum((F.bit_count(F.col(f"l.p{j}").bitwiseXOR(F.col(f"r.p{j}"))) for j in range(words)), lit(0))
+    few = apart * (100 + percent) <= (100 - percent) * (F.col("l.n") + F.col("r.n"))
+    differ = sum((F.bit_count((F.col(f"l.s{j}").bitwiseXOR(F.col(f"r.s{j}")) + lit(ones)).bitwiseAND(lit(tops))) for j in range(lanes)), lit(0))
     n = 2 * M * R
     s = percent / 100
     floor_ = s - 6 * (s * (1 - s) / n) ** 0.5
-    comp, _ = link_by_buckets(ws, members, verify, size & (differ <= int(n * (1 - floor_))))
+    comp, _ = link_by_buckets(ws, members, verify, size & few & (differ <= int(n * (1 - floor_))))
 
     named = least.select("same", "id").join(comp, "id", "left").select("same", F.coalesce("comp", "id").alias("component"))
     named = ws.keep(named, "named")
