@@ -211,7 +211,6 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
     bit_names = [f"p{j}" for j in range(BITS // 64)]
     body = slim.mapInArrow(bodies, "id binary, body binary, " + ", ".join(f"{c} long" for c in bit_names)).join(hinted(wanted), "id", "left_semi")
     body = ws.keep(body.groupBy("id").agg(*[F.first(c).alias(c) for c in ("body", *bit_names)]), "bodies")
-    members = ws.keep(members.join(body.select("id", F.octet_length("body").alias("size"), *bit_names), "id"), "sized")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +225,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
 
     # tau edits change the length by tau and four pairs of bytes each at most
     apart = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in bit_names), F.lit(0))
-    comp, _ = link_by_buckets(ws, members, verify, (F.abs(F.col("l.size") - F.col("r.size")) <= tau) & (apart <= 4 * tau))
+    payload = body.select("id", F.octet_length("body").alias("size"), *bit_names)
+    comp, _ = link_by_buckets(ws, members, verify, payload, (F.abs(F.col("l.size") - F.col("r.size")) <= tau) & (apart <= 4 * tau))
     named = ws.keep(at.join(comp.withColumnRenamed("id", "line"), "line", "left").select("id", "number", "line", F.coalesce("comp", "line").alias("cls")), "named")
     place = F.struct("id", "number")
     first = ws.keep(named.groupBy("cls").agg(F.min(place).alias("first"), F.min_by("line", place).alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")

@@ -37,12 +37,13 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
 ROUNDS = 2
 
 
-def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition=None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: DataFrame, condition, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Components of the ids that share a bucket and pass `verify`.
 
     members: (bucket, id, base, more...), each (bucket, id) once, written already. Two ids of a bucket are a
-    candidate pair if one of them is marked base. verify: pairs (a, b) to those that are linked. condition:
-    of two rows' payloads (as columns l.* and r.*), what a linked pair always meets.
+    candidate pair if one of them is marked base. verify: pairs (a, b) to those that are linked. payload: one row
+    for each id. condition: of two members with their payloads (as columns l.* and r.*), what a linked pair meets
+    in one of its buckets at least.
 
     In each round every bucket names one base id its hub (at first one that shares most buckets with others) and
     every id is tried against the hub that it meets in most buckets, one pair for each id. So large groups
@@ -77,13 +78,12 @@ def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFra
             comp = ws.keep(connected_components(ws, found), "comp")
         elif not found.isEmpty():
             comp = _joined(ws, comp, found)
-    named = ws.keep(members.join(sizes.select("bucket"), "bucket", "left_semi").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    named = ws.keep(slim.select("bucket", "id").join(comp, "id", "left").select("bucket", F.coalesce("comp", "id").alias("comp"), "id"), "named")
     open_ = ws.keep(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "open")
-    rest = ws.keep(named.join(open_, "bucket", "left_semi"), "rest")
+    about = ws.keep(payload.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "payload")
+    rest = ws.keep(members.join(open_, "bucket", "left_semi").join(about, "id"), "rest")
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & (F.col("l.base") | F.col("r.base"))
-    if condition is not None:
-        on = on & condition
-    cross = ws.keep(rest.alias("l").join(rest.alias("r"), on).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "cross")
+    cross = ws.keep(rest.alias("l").join(rest.alias("r"), on & condition).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "cross")
     more = ws.keep(verify(cross), "links")
     if not more.isEmpty():
         comp = _joined(ws, comp, more)

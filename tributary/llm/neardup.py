@@ -94,14 +94,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a half key that only one class has leads to no pair
     half = least.select("id", F.posexplode("halves").alias("i", "h"))
     shared = ws.keep(half.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h"), "halves")
-    left = half.join(shared, ["i", "h"], "left_semi").groupBy("id").agg(F.collect_list(F.when(F.col("i") < M, F.xxhash64("i", "h"))).alias("p"), F.collect_list(F.when(F.col("i") >= M, F.xxhash64("i", "h"))).alias("q")).where("size(p) > 0 and size(q) > 0")
-    keys = left.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select(F.xxhash64("p", "q").alias("bucket"), "id")
+    mine = lambda c: F.collect_list(F.when(c, F.struct("i", F.xxhash64("i", "h").alias("h"))))
+    left = half.join(shared, ["i", "h"], "left_semi").groupBy("id").agg(mine(F.col("i") < M).alias("p"), mine(F.col("i") >= M).alias("q")).where("size(p) > 0 and size(q) > 0")
+    keys = left.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select(F.xxhash64("p.h", "q.h").alias("bucket"), "id", F.col("p.i").cast("byte").alias("i"), F.col("q.i").cast("byte").alias("j"))
     keys = ws.keep(keys, "keys")
     twice = ws.keep(keys.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
-    members = keys.join(twice, "bucket", "left_semi").distinct().withColumn("base", F.lit(True))
+    members = ws.keep(keys.join(twice, "bucket", "left_semi").withColumn("base", F.lit(True)), "members")
     words, lanes = BITS // 64, 2 * M * R // LANES
-    sketches = least.select("id", "n", *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)])
-    members = ws.keep(members.join(sketches, "id"), "members")
+    two = lambda j: F.shiftleft(F.col("halves")[2 * j], 32).bitwiseOR(F.col("halves")[2 * j + 1].bitwiseAND(F.lit(0xFFFFFFFF)))
+    payload = least.select("id", "n", *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)], *[two(j).alias(f"h{j}") for j in range(M)])
 
     wanted = ws.keep(members.select("id").distinct(), "wanted")
     sets = ws.keep(slim.join(hinted(wanted), "id", "left_semi").mapInArrow(_sets(k), "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
@@ -124,7 +125,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     n = 2 * M * R
     s = percent / 100
     floor_ = s - 6 * (s * (1 - s) / n) ** 0.5
-    comp, _ = link_by_buckets(ws, members, verify, size & few & (differ <= int(n * (1 - floor_))))
+    # a pair is listed in the first table that it shares: no earlier half keys (32 bits of each) agree
+    xor = [F.col(f"l.h{j}").bitwiseXOR(F.col(f"r.h{j}")) for j in range(M)]
+    once = F.lit(True)
+    for t in range(2 * M):
+        same = (F.shiftrightunsigned(xor[t // 2], 32) if t % 2 == 0 else F.shiftleft(xor[t // 2], 32)) == 0
+        once = once & ((F.col("l.i" if t < M else "l.j") <= t) | ~same)
+    comp, _ = link_by_buckets(ws, members, verify, payload, size & few & (differ <= int(n * (1 - floor_))) & once)
 
     named = least.select("same", "id").join(comp, "id", "left").select("same", F.coalesce("comp", "id").alias("component"))
     named = ws.keep(named, "named")
