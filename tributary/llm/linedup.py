@@ -242,9 +242,9 @@ def without_lines(docs: DataFrame, removed: DataFrame, drop_empty: bool = False,
     per = removed.where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
     per = Workspace(docs.sparkSession, "gone").keep(per, "removed")
     joined = docs.join(hinted(per), docs[id_col] == per["_id"], "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(kept)
-    out = joined.withColumn("_text", text)
+    gone = per["_gone"]  # by frame, since docs may have columns of any name
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     if drop_empty:
-        out = out.where(F.col("_gone").isNull() | (F.trim("_text") != ""))
-    return out.select(*[(F.col("_text") if c == text_col else docs[c]).alias(c) for c in docs.columns])
+        joined = joined.where(gone.isNull() | (F.trim(kept) != ""))
+    text = F.when(gone.isNull(), docs[text_col]).otherwise(kept)
+    return joined.select(*[(text if c == text_col else docs[c]).alias(c) for c in docs.columns])
