@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, U, Workspace, conflicting_ids, hinted, mix, pack, raw, slices, span_hashes
+from .common import GOLD, U, Workspace, conflicting_ids, hinted, mix, raw, slices, span_hashes
 
 LENGTH, GRAM = 50, 18
-SLICE, PART_BYTES = 6 << 20, 12 << 20
+SLICE, PART_BYTES = 2 << 20, 12 << 20
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
@@ -56,47 +57,66 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
         return np.zeros(0, U), z, z, z
     anchor, text = (m[start] & U(0xFFFFFFFF)).astype(np.int64), text[start]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    return h[anchor[new]], start[new], start[np.append(new[1:], len(start)) - 1] + 1, text[new]
+    # least hashes are all small; mixed, they are spread over the ranges
+    return mix(h[anchor[new]]), start[new], start[np.append(new[1:], len(start)) - 1] + 1, text[new]
 
 
-ROW = np.dtype([("key", "<u8"), ("item", "<u8"), ("at", "<u4")])
-WINDOW = np.dtype([("key", "<u8"), ("at", "<u4")])
+#: Columns of what is shuffled: an anchor's or window's hash (and its span's), the document and a number in it.
+SPAN = ("<u8", "<u8", "<i8", "<i4")
+WINDOW = ("<u8", "<i8", "<i4")
+
+
+def _pack(columns: list[np.ndarray], kinds: tuple[str, ...], parts: int) -> pa.RecordBatch:
+    """Rows as one binary value for each range of the first column, whole columns one after the other.
+
+    Rows keep their order within a range, so that documents and numbers, as differences, compress well.
+    """
+    part = ((columns[0] >> U(32)) * U(parts)) >> U(32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(begin[1:], len(part))
+    columns = [c[order].astype(k) for c, k in zip(columns, kinds)]
+    values = [b"".join((c[b:e] if k == "<u8" else np.diff(c[b:e], prepend=c.dtype.type(0))).tobytes() for c, k in zip(columns, kinds)) for b, e in zip(begin.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of all rows that a task got."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    found: list[list[np.ndarray]] = [[] for _ in kinds]
+    for b in batches:
+        for x in b.column("rows").to_pylist():
+            n, at = len(x) // width, 0
+            for k, out in zip(kinds, found):
+                c = np.frombuffer(x, k, n, at)
+                at += c.nbytes
+                out.append(c if k == "<u8" else np.cumsum(c, dtype=k))
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(found, kinds)]
 
 
 def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Spans by the range of their anchor. Of equal spans in a slice only the smallest document's goes there.
+
+    The others are whole repeats for certain; they go to any one range, marked, as documents and numbers.
+    """
     for b in slices(batches, "text", SLICE):
         data, at = raw(b.column("text"))
         key, lo, hi, text = anchors(data, at, length, gram)
         if not len(key):
             continue
-        row = np.zeros(len(key), ROW)
-        row["key"], row["item"], row["at"] = key, span_hashes(data, lo, hi + length - 1), np.arange(len(key))
-        yield _with_ids(pack(row, parts), b.column("id"), np.searchsorted(text, np.arange(len(at))))
-
-
-def _with_ids(packed: pa.RecordBatch, ids: pa.Array, first: np.ndarray) -> pa.RecordBatch:
-    """Adds the slice's ids (as differences, which compress) and where each document's numbers begin."""
-    i = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-    head = np.diff(i, prepend=0).astype("<i8").tobytes() + np.diff(first, prepend=0).astype("<i8").tobytes()
-    n = packed.num_rows
-    return pa.RecordBatch.from_arrays([*packed.columns, pa.array([head] * n, pa.binary())], ["part", "rows", "head"])
-
-
-def _taken(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A task's rows with the document of each and the number within it."""
-    rows, docs, numbers = [], [], []
-    for b in batches:
-        for x, head in zip(b.column("rows").to_pylist(), b.column("head").to_pylist()):
-            r, h = np.frombuffer(x, dtype), np.frombuffer(head, "<i8")
-            n = (len(h) - 1) // 2
-            ids, first = np.cumsum(h[:n]), np.cumsum(h[n:])
-            d = np.searchsorted(first, r["at"], "right") - 1
-            rows.append(r[list(dtype.names[:-1])])
-            docs.append(ids[d])
-            numbers.append((r["at"] - first[d]).astype(np.int32))
-    if not rows:
-        return np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(rows), np.concatenate(docs), np.concatenate(numbers)
+        ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        number = np.arange(len(key)) - np.searchsorted(text, np.arange(len(at)))[text]
+        item, docs = span_hashes(data, lo, hi + length - 1), ids[text]
+        both = mix(key * GOLD + item)
+        again = _least_of(both, docs, np.argsort(both, kind="stable")) < docs
+        send = ~again
+        out = _pack([key[send], item[send], docs[send], number[send]], SPAN, parts)
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.zeros(out.num_rows, bool))], ["part", "rows", "known"])
+        if again.any():
+            where = int(both[again][0] % U(parts))
+            value = b"".join(np.diff(c.astype(k), prepend=np.dtype(k).type(0)).tobytes() for c, k in ((docs[again], "<i8"), (number[again], "<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array([where], pa.int32()), pa.array([value], pa.binary()), pa.array([True])], ["part", "rows", "known"])
 
 
 def _least_of(key: np.ndarray, docs: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -119,10 +139,17 @@ def _by_doc(docs: np.ndarray, numbers: np.ndarray, kind: np.ndarray | None = Non
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, docs, numbers = _taken(batches, ROW)
-    if not len(rows):
+    asked = []
+    for b in batches:
+        sure = b.filter(b.column("known"))
+        if sure.num_rows:
+            docs, numbers = _unpack(iter([sure]), ("<i8", "<i4"))
+            yield _by_doc(docs, numbers, np.ones(len(docs), np.int64))
+        asked.append(b.filter(pc.invert(b.column("known"))))
+    key, item, docs, numbers = _unpack(iter(asked), SPAN)
+    if not len(key):
         return
-    key, item = rows["key"], mix(rows["key"] * GOLD + rows["item"])
+    item = mix(key * GOLD + item)
     of_key = _least_of(key, docs, np.argsort(key, kind="stable"))
     of_item = _least_of(item, docs, np.argsort(item, kind="stable"))
     whole = of_item < docs
@@ -195,8 +222,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     empty. Equal rows of one id are one document. Rows of null id, and rows of one id whose texts differ, lose
     nothing and take nothing away. Other columns are ignored; an empty table gives no rows.
 
-    Comparison is by 64-bit hashes of whole spans and windows. Rows are packed per slice of text, so an anchor in
-    a third of all documents is one row a slice and document, in fixed-width arrays that a range's task sorts.
+    Comparison is by 64-bit hashes of whole spans and windows. Rows are packed per slice of text, as fixed-width
+    arrays that a range's task sorts.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "repeats")
@@ -211,11 +238,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _offer(batches, length, gram, parts)
 
-    kind = "part int, rows binary, head binary"
-    spans = ws.keep(known.mapInArrow(offer, kind).repartition(parts, "part").mapInArrow(_compare, "id long, spans binary"), "spans")
+    kind = "part int, rows binary"
+    spans = ws.keep(known.mapInArrow(offer, f"{kind}, known boolean").repartition(parts, "part").mapInArrow(_compare, "id long, spans binary"), "spans")
     spans = spans.groupBy("id").agg(F.collect_list("spans").alias("spans"))
     joined = slim.join(spans, "id", "left").select("id", "text", "spans")
 
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows"]
+
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Results as if no asked window repeated, and the asked windows of the slice."""
         for b, said in _gathered(batches):
@@ -225,30 +254,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             gone = _marked(data, lo[whole], hi[whole] + length - 1)
             rows = _result(data, at, gone)
             n = len(rows)
-            nothing = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([*_columns(b.column("id"), rows), pa.nulls(n, pa.int32()), nothing, nothing], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows", "head"])
+            yield pa.RecordBatch.from_arrays([*_columns(b.column("id"), rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             if len(asked):
                 asked = np.sort(asked)
-                start, _ = _each_window(lo, hi, asked)
-                w = np.zeros(len(start), WINDOW)
-                w["key"] = span_hashes(data, start, start + length)
-                w["at"] = start
-                p = _with_ids(pack(w, parts), b.column("id"), at)
+                start, span = _each_window(lo, hi, asked)
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                p = _pack([span_hashes(data, start, start + length), ids[text[span]], start - at[text[span]]], WINDOW, parts)
                 n = p.num_rows
                 none = [pa.nulls(n, pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([*none, pa.nulls(n, pa.string()), *p.columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows", "head"])
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(n, pa.string()), *p.columns], names)
 
     first = ws.keep(joined.mapInArrow(first_pass, f"id long, {RESULT}, {kind}"), "first")
     results = first.where("part is null").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ids, starts = _taken(batches, WINDOW)
-        if len(rows):
-            key = rows["key"]
+        key, ids, starts = _unpack(batches, WINDOW)
+        if len(key):
             again = _least_of(key, ids, np.argsort(key, kind="stable")) < ids
             yield _by_doc(ids[again], starts[again])
 
-    more = first.where("part is not null").select("part", "rows", "head").repartition(parts, "part").mapInArrow(windows, "id long, spans binary")
+    more = first.where("part is not null").select("part", "rows").repartition(parts, "part").mapInArrow(windows, "id long, spans binary")
     more = ws.keep(more, "windows")
     more = ws.keep(more.groupBy("id").agg(F.collect_list("spans").alias("windows")), "more")
 
