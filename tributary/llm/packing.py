@@ -9,7 +9,6 @@ minimum over a sliding window comes from a monotone queue.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +30,21 @@ def choose_cuts(pos: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
 
     Neighbouring positions must be at most `length` apart. Each index enters and leaves the queue once.
     """
-    p, c = pos.tolist(), cost.tolist()
-    best, back, queue = [0] * len(p), [0] * len(p), deque([0])
-    key = [0] * len(p)
-    for j in range(1, len(p)):
-        while p[j] - p[queue[0]] > length:
-            queue.popleft()
-        i = queue[0]
-        best[j], back[j] = c[j] + length - p[j] + key[i], i
-        key[j] = best[j] + p[j]
-        while queue and key[queue[-1]] >= key[j]:
-            queue.pop()
-        queue.append(j)
+    p, c = pos.tolist(), (cost + length).tolist()
+    n = len(p)
+    # key(j) = best(j) + pos(j) = cost(j) + length + the least key in reach; queue[head:tail] has ascending keys
+    key, back, queue, head, tail = [0] * n, [0] * n, [0] * (n + 1), 0, 1
+    for j in range(1, n):
+        reach = p[j] - length
+        while p[queue[head]] < reach:
+            head += 1
+        i = queue[head]
+        k = key[j] = c[j] + key[i]
+        back[j] = i
+        while tail > head and key[queue[tail - 1]] >= k:
+            tail -= 1
+        queue[tail] = j
+        tail += 1
     cuts, j = [], len(p) - 1
     while j:
         cuts.append(j)
@@ -130,8 +132,7 @@ def _pack(path: str, length: int, batch: int, end_id: int, names: list[str]):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for b in slices(batches, "text"):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, (ids, ends, stops) in zip(b.column("id").to_pylist(), coder.encode_many(texts)):
+            for doc_id, (ids, ends, stops) in zip(b.column("id").to_pylist(), coder.encode_column(b.column("text"))):
                 packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"), ends, stops)
             if packer.rows:
                 yield out()

@@ -7,15 +7,20 @@ lookup. A text with U+001C to U+001F, which Python and the tokenizer class diffe
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from .common import raw, span_hashes, words
 
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile(r"[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
-KEPT = 400_000
+KEPT = 1_000_000
 FULL_STOP = (".", "!", "?", "…", "。", "！", "？")
 
 
@@ -25,49 +30,110 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer file must say for its texts to be encoded chunk by chunk.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+TAIL = ".,;:!?"
+LETTERS = "a-z\xe0-\xf6\xf8-\xff"
+WORD, LATIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)"), re.compile(f"[{LETTERS}]+")
+#: Byte-level models write a byte as the character of its number if that is printable, else as the next one from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LEVEL = {b: chr(b if b in _SEEN else 256 + sum(x not in _SEEN for x in range(b))) for b in range(256)}
+
+
 class ChunkEncoder:
-    """encode(text) gives (ids, ends, stops): all ids, for each chunk how many ids end with it, and whether it ends a sentence."""
+    """encode(text) gives (ids, ends, stops): all ids, for each chunk how many ids end with it, and whether it ends a sentence.
+
+    Chunks are the text between white space where the file lower-cases, drops white space and cuts words from
+    punctuation as word_bpe_49k does; else a text is one chunk. A chunk of an ASCII letter and then punctuation
+    is encoded as two parts, and ASCII parts in lower case, so that most new chunks are made of known parts.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.fine = (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS and cut[0].get("pattern") == {"Regex": PIECES} and bool(cut[0].get("invert")) and not rules.get("post_processor")
+        self.fine = self.fine and len(cut) == 2 and level.items() <= cut[1].items() and not any(t["content"].isalpha() for t in rules.get("added_tokens") or [])
+        self.part: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.start, self.size, self.stop = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, bool))
+        self.start, self.size, self.stop = (np.zeros(0, t) for t in (np.int64, np.int32, bool))
         self.used = 0
 
+    def parts(self, chunk: str) -> tuple[str, ...]:
+        """The chunk's parts; a chunk that holds white space beyond ASCII has several."""
+        if not self.fine:
+            return (chunk,)
+        if not chunk.isascii():
+            return tuple(x for c in self.split(chunk) for x in self._cut(c))
+        if chunk[-1] not in TAIL:
+            return (chunk.lower(),) if not ODD.search(chunk) else tuple(x for c in self.split(chunk) for x in self._cut(c))
+        return self._cut(chunk) if not ODD.search(chunk) else tuple(x for c in self.split(chunk) for x in self._cut(c))
+
+    @staticmethod
+    def _cut(chunk: str) -> tuple[str, ...]:
+        core = chunk.rstrip(TAIL)
+        if core and len(core) < len(chunk) and core[-1].isascii() and core[-1].isalpha():
+            return (core.lower() if core.isascii() else core), chunk[len(core) :]
+        return (chunk.lower() if chunk.isascii() else chunk,)
+
     def learn(self, chunks: list[str]) -> None:
-        for chunk, code in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            i, ids = len(self.number), code.ids
-            if i >= len(self.start):
-                self.start, self.size, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.stop))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[i], self.size[i], self.stop[i] = self.used, len(ids), chunk.endswith(FULL_STOP)
-            self.used += len(ids)
-            self.number[chunk] = i
+        # most chunks are a word of Latin letters and perhaps punctuation: two parts, without further looks
+        match = WORD.fullmatch if self.fine else lambda c: None
+        pairs = [m.groups() if (m := match(c.lower())) else self.parts(c) for c in chunks]
+        known = self.part
+        new = list(dict.fromkeys(x for x in chain.from_iterable(pairs) if x not in known))
+        if known and len(known) + len(new) > self.kept:
+            known.clear()
+            new = list(dict.fromkeys(chain.from_iterable(pairs)))
+        known[""] = ()
+        # a word of small Latin letters is one piece as it stands, so the model alone gives its ids
+        tokens, rest = self.tokenizer.model.tokenize, []
+        for x in new:
+            if self.fine and LATIN.fullmatch(x):
+                known[x] = tuple([t.id for t in tokens(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(LEVEL))])
+            elif x:
+                rest.append(x)
+        for part, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[part] = tuple(code.ids)
+        lists = [known[p[0]] + known[p[1]] if len(p) == 2 else tuple(chain.from_iterable(map(known.__getitem__, p))) for p in pairs]
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size, dtype=np.int64) - size])
+        self.size = np.concatenate([self.size, size])
+        self.stop = np.concatenate([self.stop, np.fromiter((c.endswith(FULL_STOP) for c in chunks), bool, len(chunks))])
+        self.used += len(ids)
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's number. Forgets all chunks first when there are too many, so numbers hold until the next call."""
-        get = self.number.get
-        found = list(map(get, chunks))
+        found = list(map(self.number.get, chunks))
         if None in found:
             new = list(dict.fromkeys(c for c, i in zip(chunks, found) if i is None))
             if self.number and len(self.number) + len(new) > self.kept:
                 self.clear()
-                new = list(dict.fromkeys(chunks))
-            self.learn(new)
-            found = map(self.number.__getitem__, chunks)
-        return np.fromiter(found, np.int64, len(chunks))
-
-    @staticmethod
-    def split(text: str) -> list[str]:
+                self.learn(list(dict.fromkeys(chunks)))
+                found = list(map(self.number.__getitem__, chunks))
+            else:
+                self.learn(new)
+                found = [self.number[c] if i is None else i for i, c in zip(found, chunks)]
+        return np.array(found, np.int64)
+
+    def split(self, text: str) -> list[str]:
+        if not self.fine:
+            return [text] if text else []
         return [x for x in PLAIN.split(text) if x] if ODD.search(text) else text.split()
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
@@ -79,17 +145,25 @@ class ChunkEncoder:
         numbers = self.numbers(self.split(text))
         return self.gather(numbers), np.cumsum(self.size[numbers], dtype=np.int64), self.stop[numbers]
 
-    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """encode() of each text, in one go."""
-        split = [self.split(t) for t in texts]
-        numbers = self.numbers([c for s in split for c in s])
+    def encode_column(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text of a column, null being empty.
+
+        Chunks between ASCII white space are told apart by a 64-bit hash, so only the column's distinct ones are
+        looked up; ends and stops are those of these chunks.
+        """
+        data, at = raw(column)
+        if not self.fine:
+            return [self.encode(t or "") for t in column.to_pylist()]
+        starts, ends, first = words(data, at)
+        _, where, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        view = data.tobytes()
+        chunks = [view[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist())]
+        numbers = self.numbers(chunks)[which]
         ids, size, stop = self.gather(numbers), self.size[numbers].astype(np.int64), self.stop[numbers]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out, i = [], 0
-        for s in split:
-            j = i + len(s)
-            out.append((ids[ends[i] : ends[j]], ends[i + 1 : j + 1] - ends[i], stop[i:j]))
-            i = j
+        last = np.concatenate([[0], np.cumsum(size)])
+        out = []
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            out.append((ids[last[i] : last[j]], last[i + 1 : j + 1] - last[i], stop[i:j]))
         return out
 
     def count(self, text: str) -> int:
