@@ -7,8 +7,8 @@ their leading k-gram's hash, sorted in each range, and neighbours are compared:
 
 1. Consecutive windows of one anchor form a span. If the same span begins in an earlier document, all its windows
    repeat. If no earlier document has the anchor, none does.
-2. Else (the edges of repeated passages) the windows are compared one by one, again partitioned and sorted by
-   hash, against those of every span with that anchor.
+2. Else (the edges of repeated passages) the windows are compared one by one, again partitioned by their anchors
+   and sorted by hash, against those of every span with that anchor.
 """
 
 from __future__ import annotations
@@ -66,18 +66,24 @@ SPAN = ("<u8", "<u8", "<i8", "<i4")
 WINDOW = ("<u8", "<i8", "<i4")
 
 
-def _pack(columns: list[np.ndarray], kinds: tuple[str, ...], parts: int) -> pa.RecordBatch:
-    """Rows as one binary value for each range of the first column, whole columns one after the other.
+CODEC = "zstd"
 
-    Rows keep their order within a range, so that documents and numbers, as differences, compress well.
-    """
-    part = ((columns[0] >> U(32)) * U(parts)) >> U(32)
+
+def _blob(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
+    """Whole columns one after the other, ids and numbers as differences, compressed behind their length."""
+    raw_ = b"".join((c if k == "<u8" else np.diff(c, prepend=c.dtype.type(0))).tobytes() for c, k in zip(columns, kinds))
+    return len(raw_).to_bytes(4, "little") + pa.Codec(CODEC).compress(raw_, asbytes=True)
+
+
+def _pack(by: np.ndarray, columns: list[np.ndarray], kinds: tuple[str, ...], parts: int) -> pa.RecordBatch:
+    """Rows as one binary value for each range of `by` that has any; rows keep their order within a range."""
+    part = ((by >> U(32)) * U(parts)) >> U(32)
     order = np.argsort(part, kind="stable")
     part = part[order]
     begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(begin[1:], len(part))
     columns = [c[order].astype(k) for c, k in zip(columns, kinds)]
-    values = [b"".join((c[b:e] if k == "<u8" else np.diff(c[b:e], prepend=c.dtype.type(0))).tobytes() for c, k in zip(columns, kinds)) for b, e in zip(begin.tolist(), ends.tolist())]
+    values = [_blob([c[b:e] for c in columns], kinds) for b, e in zip(begin.tolist(), ends.tolist())]
     return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"])
 
 
@@ -86,7 +92,8 @@ def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> list[n
     width = sum(np.dtype(k).itemsize for k in kinds)
     found: list[list[np.ndarray]] = [[] for _ in kinds]
     for b in batches:
-        for x in b.column("rows").to_pylist():
+        for packed in b.column("rows").to_pylist():
+            x = pa.Codec(CODEC).decompress(memoryview(packed)[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
             n, at = len(x) // width, 0
             for k, out in zip(kinds, found):
                 c = np.frombuffer(x, k, n, at)
@@ -111,11 +118,11 @@ def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int
         both = mix(key * GOLD + item)
         again = _least_of(both, docs, np.argsort(both, kind="stable")) < docs
         send = ~again
-        out = _pack([key[send], item[send], docs[send], number[send]], SPAN, parts)
+        out = _pack(key[send], [key[send], item[send], docs[send], number[send]], SPAN, parts)
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.zeros(out.num_rows, bool))], ["part", "rows", "known"])
         if again.any():
             where = int(both[again][0] % U(parts))
-            value = b"".join(np.diff(c.astype(k), prepend=np.dtype(k).type(0)).tobytes() for c, k in ((docs[again], "<i8"), (number[again], "<i4")))
+            value = _blob([docs[again].astype("<i8"), number[again].astype("<i4")], ("<i8", "<i4"))
             yield pa.RecordBatch.from_arrays([pa.array([where], pa.int32()), pa.array([value], pa.binary()), pa.array([True])], ["part", "rows", "known"])
 
 
@@ -259,7 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 asked = np.sort(asked)
                 start, span = _each_window(lo, hi, asked)
                 ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                p = _pack([span_hashes(data, start, start + length), ids[text[span]], start - at[text[span]]], WINDOW, parts)
+                # by anchor, since equal windows have equal ones: so a document's windows stay together
+                p = _pack(key[span], [span_hashes(data, start, start + length), ids[text[span]], start - at[text[span]]], WINDOW, parts)
                 n = p.num_rows
                 none = [pa.nulls(n, pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays([*none, pa.nulls(n, pa.string()), *p.columns], names)
@@ -287,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             gone = _marked(data, np.concatenate([lo[whole], start]), np.concatenate([hi[whole] + length - 1, start + length]))
             yield pa.RecordBatch.from_arrays(_columns(b.column("id"), _result(data, at, gone)), ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    again = slim.join(hinted(more), "id").join(spans, "id", "left").select("id", "text", "spans", "windows")
+    again = slim.join(hinted(more.select("id")), "id", "left_semi").join(more, "id").join(spans, "id", "left").select("id", "text", "spans", "windows")
     final = again.mapInArrow(second_pass, f"id long, {RESULT}")
     out = results.join(more.select("id"), "id", "left_anti").unionByName(final)
     return out.withColumnRenamed("id", id_col)
