@@ -135,23 +135,34 @@ def _least_of(key: np.ndarray, docs: np.ndarray, order: np.ndarray) -> np.ndarra
     return out
 
 
-def _by_doc(docs: np.ndarray, numbers: np.ndarray, kind: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row a document: its numbers, sorted and packed; numbers with kind set are 2 n + 1, others 2 n."""
-    value = numbers.astype(np.int64) * 2 + (0 if kind is None else kind)
-    order = np.lexsort((value, docs))
-    d, v = docs[order], value[order].astype("<u4")
+#: A document and a number in it, doubled, with one added for what is known to repeat.
+FOUND = ("<i8", "<i4")
+
+
+def _to_docs(docs: np.ndarray, numbers: np.ndarray, known: np.ndarray | int, parts: int) -> pa.RecordBatch:
+    """Numbers on their way to their documents: one packed row for each range of (mixed) ids."""
+    return _pack(mix(docs.astype(U)), [docs, numbers.astype(np.int64) * 2 + known], FOUND, parts)
+
+
+def _per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document: its numbers, sorted and packed."""
+    d, v = _unpack(batches, FOUND)
+    order = np.lexsort((v, d))
+    d, v = d[order], v[order].astype("<u4")
     begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(d))
-    return pa.RecordBatch.from_arrays([pa.array(d[begin]), pa.array([v[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())], ["id", "spans"])
+    for i in range(0, len(begin), 10_000):
+        part = zip(begin[i : i + 10_000].tolist(), end[i : i + 10_000].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(d[begin[i : i + 10_000]]), pa.array([v[s:e].tobytes() for s, e in part], pa.binary())], ["id", "spans"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     asked = []
     for b in batches:
         sure = b.filter(b.column("known"))
         if sure.num_rows:
             docs, numbers = _unpack(iter([sure]), ("<i8", "<i4"))
-            yield _by_doc(docs, numbers, np.ones(len(docs), np.int64))
+            yield _to_docs(docs, numbers, 1, parts)
         asked.append(b.filter(pc.invert(b.column("known"))))
     key, item, docs, numbers = _unpack(iter(asked), SPAN)
     if not len(key):
@@ -166,12 +177,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     there = np.searchsorted(keys, key)
     asked = (len(keys) > 0) & (keys[np.minimum(there, max(len(keys) - 1, 0))] == key) if len(keys) else np.zeros(len(key), bool)
     say = whole | (asked & ~whole)
-    yield _by_doc(docs[say], numbers[say], whole[say].astype(np.int64))
+    yield _to_docs(docs[say], numbers[say], whole[say].astype(np.int64), parts)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in slices(batches, "text", SLICE):
-        yield b, [np.frombuffer(b"".join(x or []), "<u4") for x in b.column("spans").to_pylist()]
+        yield b, [np.frombuffer(x or b"", "<u4") for x in b.column("spans").to_pylist()]
 
 
 def _marked(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -246,8 +257,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         return _offer(batches, length, gram, parts)
 
     kind = "part int, rows binary"
-    spans = ws.keep(known.mapInArrow(offer, f"{kind}, known boolean").repartition(parts, "part").mapInArrow(_compare, "id long, spans binary"), "spans")
-    spans = spans.groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compare(batches, parts)
+
+    def gathered(found: DataFrame, name: str) -> DataFrame:
+        return ws.keep(found.repartition(parts, "part").mapInArrow(_per_doc, "id long, spans binary"), name)
+
+    spans = known.mapInArrow(offer, f"{kind}, known boolean").repartition(parts, "part").mapInArrow(compare, kind)
+    spans = gathered(spans, "spans")
     joined = slim.join(spans, "id", "left").select("id", "text", "spans")
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows"]
@@ -279,18 +296,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         key, ids, starts = _unpack(batches, WINDOW)
         if len(key):
             again = _least_of(key, ids, np.argsort(key, kind="stable")) < ids
-            yield _by_doc(ids[again], starts[again])
+            yield _to_docs(ids[again], starts[again], 0, parts)
 
-    more = first.where("part is not null").select("part", "rows").repartition(parts, "part").mapInArrow(windows, "id long, spans binary")
-    more = ws.keep(more, "windows")
-    more = ws.keep(more.groupBy("id").agg(F.collect_list("spans").alias("windows")), "more")
+    more = first.where("part is not null").select("part", "rows").repartition(parts, "part").mapInArrow(windows, kind)
+    more = gathered(more, "windows").withColumnRenamed("spans", "windows")
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, said in _gathered(batches):
             data, at = raw(b.column("text"))
             _, lo, hi, text = anchors(data, at, length, gram)
             whole, _ = _expand(said, text, len(at) - 1)
-            start = [a + (np.frombuffer(b"".join(x), "<u4") >> 1).astype(np.int64) for a, x in zip(at.tolist(), b.column("windows").to_pylist())]
+            start = [a + (np.frombuffer(x, "<u4") >> 1).astype(np.int64) for a, x in zip(at.tolist(), b.column("windows").to_pylist())]
             start = np.concatenate(start) if start else np.zeros(0, np.int64)
             gone = _marked(data, np.concatenate([lo[whole], start]), np.concatenate([hi[whole] + length - 1, start + length]))
             yield pa.RecordBatch.from_arrays(_columns(b.column("id"), _result(data, at, gone)), ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
