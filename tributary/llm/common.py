@@ -63,9 +63,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if it has `rows` at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS, wide: str | None = None) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has `rows` at most.
+
+    wide: an array column; its elements count as rows too, since their number has no bound by row.
+    """
+    n, more = df.agg(F.count("*"), F.sum(F.size(wide)) if wide else F.lit(0)).first()
+    return F.broadcast(df) if n + (more or 0) <= rows else df
 
 
 def conflicting_ids(ws: Workspace, rows: DataFrame, value: str) -> DataFrame | None:

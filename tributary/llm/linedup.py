@@ -241,7 +241,7 @@ def without_lines(docs: DataFrame, removed: DataFrame, drop_empty: bool = False,
     """docs with the removed lines (id, removed) taken out of their texts; drop_empty: without documents that lose all of theirs."""
     per = removed.where(F.size("removed") > 0).select(F.col(id_col).alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
     per = Workspace(docs.sparkSession, "gone").keep(per, "removed")
-    joined = docs.join(hinted(per), docs[id_col] == per["_id"], "left")
+    joined = docs.join(hinted(per, wide="_gone"), docs[id_col] == per["_id"], "left")
     gone = per["_gone"]  # by frame, since docs may have columns of any name
     kept = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     if drop_empty:
