@@ -19,7 +19,7 @@ from .common import GOLD, U, Workspace, hinted, longs, mix, pack, parities, raw,
 from .linking import link_by_buckets
 
 TAU, LEAST_BYTES = 2, 24
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 BITS = 128
 _MASK = (1 << 64) - 1
 
@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
     at = ws.keep(slim.where("id is not null").mapInArrow(places, "line binary, id long, number int"), "places")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             data, starts, ends, _, _ = _long_lines(b, least_bytes)
             if not len(starts):
                 continue
