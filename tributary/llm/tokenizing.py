@@ -20,7 +20,7 @@ from .common import raw, span_hashes, words
 
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile(r"[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
-KEPT = 1_000_000
+KEPT = 400_000
 FULL_STOP = (".", "!", "?", "…", "。", "！", "？")
 
 
