@@ -85,13 +85,9 @@ class CellAgg(FrameAgg):
     cells: Column | None = None
     fold: Callable[[Column], Column] = F.sum
     refold: Callable[[Column], Column] | None = None
-    #: Applied to (keys, k, v) before they are gathered: a bound on cells.
-    bound: Callable[[DataFrame, list[str]], DataFrame] | None = None
 
     def _gather(self, rows: DataFrame, fold: Callable[[Column], Column], keys: list[str], out: str) -> DataFrame:
         per = rows.groupBy(*keys, F.col("_e.k").alias("_k")).agg(fold(F.col("_e.v")).alias("_v"))
-        if self.bound:
-            per = self.bound(per, keys)
         return per.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v"))).alias(out))
 
     def partial_frame(self, df: DataFrame, keys: list[str], out: str) -> DataFrame:

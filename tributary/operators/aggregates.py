@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import sketches as S
@@ -254,8 +254,8 @@ _CELLS = "array<struct<k:bigint,v:binary>>"
 def topk_agg(x, k: int, weight=None, m: int | None = None) -> Agg:
     """The k most frequent values with their counts, (item, count), most frequent first; nulls are skipped.
 
-    Without weight a sketch of m items is kept, with weight the m heaviest items of each state. m: as many as
-    3 k and 1000 at least; with no more distinct values than m, counts are exact.
+    Without weight a sketch of m items is kept, 3 k and 1000 at least; with no more distinct values than m, counts
+    are exact. With weight all items are kept and counts are always exact; m has no part in that.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -267,16 +267,12 @@ def topk_agg(x, k: int, weight=None, m: int | None = None) -> Agg:
         final = lambda s: F.slice(F.filter(F.call_function("approx_top_k_estimate", s, F.lit(k + 1)), lambda e: e["item"].isNotNull()), 1, k)
         return _simple("topk_agg", make, merge, final)
 
-    def bound(df: DataFrame, keys: list[str]) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(F.desc("_v"), "_k")
-        return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= m).drop("_r")
-
     def ranked(cells: Column) -> Column:
         s = F.array_sort(F.transform(cells, lambda e: F.struct((-e["v"]).alias("count"), e["k"].alias("item"))))
         return F.transform(F.slice(s, 1, k), lambda e: F.struct(e["item"].alias("item"), (-e["count"]).alias("count")))
 
     cells = F.when(c.isNotNull(), F.array(F.struct(c.alias("k"), expr(weight).cast("long").alias("v"))))
-    return CellAgg("topk_agg", final=ranked, cells=cells, bound=bound)
+    return CellAgg("topk_agg", final=ranked, cells=cells)
 
 
 # distributions
