@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from tributary.llm.linedup import LEAST_BYTES, TAU, dedup_lines, pair_parities, within, without_lines
+from tributary.llm.queries import op9_line_dedup
 
 
 def distance(s: bytes, t: bytes) -> int:
@@ -124,3 +125,30 @@ def test_odd_table(odd):
 
 def test_empty(empty):
     assert dedup_lines(empty).collect() == [] and without_lines(empty, dedup_lines(empty)).collect() == []
+
+
+def test_short_repeats(spark, tmp_path):
+    """Equal lines of any length are repeats of the first one; short lines are still not linked by edits."""
+    long = "a line that is long enough to be linked by edits"
+    rows = [(1, "Les.\nAll rights reserved.\n" + long), (2, "All rights reserved.\nLes!\n\n" + long + "x"), (3, "Les.\n\nLes.\nLes"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: (0, 0), 2: (2, 1), 3: (3, 0), 4: (1, 0)}
+    out = {r["doc_id"]: (r["removed"], r["n_near"]) for r in dedup_lines(docs, short_repeats=True).collect()}
+    assert out == {1: ([], 0), 2: ([0, 3], 1), 3: ([0, 1, 2], 0), 4: ([0], 0)}
+
+
+def test_short_repeats_against_all_pairs(spark):
+    """The edit join's classes are as before; short lines add their exact repeats."""
+    rows = random_rows(4, 80)
+    removed, near = brute(rows)
+    seen = set()
+    for i, t in rows:
+        for n, s in enumerate(t.split("\n")):
+            if len(s.encode()) < LEAST_BYTES:
+                if s in seen:
+                    removed.add((i, n))
+                seen.add(s)
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), short_repeats=True).collect()
+    assert {(r["doc_id"], n) for r in out for n in r["removed"]} == removed and sum(r["n_near"] for r in out) == len(near)

@@ -130,13 +130,14 @@ def _long_lines(b: pa.RecordBatch, least: int):
     return data, starts[ok], ends[ok], text[ok], number[ok]
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """Which lines of each document are repeats: id, n_lines, removed (their numbers from 0, ascending) and n_near.
 
     Lines end at U+000A. Lines of least_bytes UTF-8 bytes or more are linked if tau edits of bytes, or none, make
     one the other; a class is all lines reachable over links. Of each class the first line stays, by id and then
-    number; the others are removed. n_near counts those whose bytes are not that line's. Shorter lines always
-    stay. A null text has one empty line. Rows of null id are left as they are and give no first lines; rows with
+    number; the others are removed. n_near counts those whose bytes are not that line's. Shorter lines are never
+    linked by edits. With short_repeats they are linked if their bytes are equal, down to the empty line; without,
+    they always stay. A null text has one empty line. Rows of null id are left as they are and give no first lines; rows with
     one id are taken as one: where their texts differ, a line that is removed from one is removed from all.
     Other columns are ignored; an empty table gives no rows.
 
@@ -151,7 +152,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least_bytes: int = LEAST_BYTES,
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            data, starts, ends, text, number = _long_lines(b, least_bytes)
+            data, starts, ends, text, number = _long_lines(b, 0 if short_repeats else least_bytes)
             ids = b.column("id").take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(_digests(data, starts, ends), pa.binary()), ids, pa.array(number, pa.int32())], ["line", "id", "number"])
 

@@ -59,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    found = Workspace(spark, "op9").keep(dedup_lines(docs), "lines")
+    found = Workspace(spark, "op9").keep(dedup_lines(docs, short_repeats=True), "lines")
     kept = without_lines(docs, found).select(F.col("doc_id").alias("k"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
     return found.join(kept, found["doc_id"].eqNullSafe(kept["k"])).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_near", "kept_sha256")
 
