@@ -1,9 +1,9 @@
-"""Removing byte strings that an earlier document has: a sparse suffix array.
+"""Removing byte strings that an earlier document has: anchors and grouping by hash.
 
-A suffix array of a whole corpus needs tens of bytes for each byte of text. Here only suffixes at anchors are
-kept: in each window of `length` bytes, the k-gram of least hash. Equal windows have their anchor at the same
-place, so a window can only repeat where its anchor does. The anchors' suffixes are partitioned by the range of
-their leading k-gram's hash, sorted in each range, and neighbours are compared:
+A suffix array of a whole corpus needs tens of bytes for each byte of text. Here no suffixes are sorted or compared.
+In each window of `length` bytes the k-gram of least hash is its anchor. Equal windows have their anchor at the same
+place, so a window can only repeat where its anchor does. Spans and windows are partitioned by the range of their
+anchor's hash and grouped by 64-bit hashes of their bytes, which are not verified:
 
 1. Consecutive windows of one anchor form a span. If the same span begins in an earlier document, all its windows
    repeat. If no earlier document has the anchor, none does.
