@@ -42,3 +42,21 @@ def test_query(spark, con, name):
 def test_flagship(spark):
     rows = catalogue.flagship(spark, D).collect()
     assert len(rows) == 5 and all(r["n"] > 0 and r["p50"] <= r["p99"] for r in rows)
+
+
+@pytest.fixture(scope="module")
+def keyless(con, tmp_path_factory):
+    """Tables where some rows have no key to split by, and a connection to them."""
+    d, c = tmp_path_factory.mktemp("keyless"), duckdb.connect()
+    for name, key in (("events", "event_id"), ("orders", "o_orderkey"), ("conversations", "conv_id"), ("customer", None)):
+        change = f"REPLACE (CASE WHEN {key} % 7 < 2 THEN NULL ELSE {key} END AS {key})" if key else ""
+        con.execute(f"COPY (SELECT * {change} FROM {name}) TO '{d}/{name}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["cv_count", "cv_global", "string_agg", "combine_of_deltas", "join_inner", "join_right", "truncate_view", "stream_targets", "deactivated"])
+def test_rows_without_a_key(spark, keyless, name):
+    """They are counted where the SQL takes the whole table, and not where it names batches by their keys."""
+    d, c = keyless
+    assert table(catalogue.queries()[name](spark, d).toPandas()) == table(c.execute(catalogue.oracle_sql()[name]).df())

@@ -39,7 +39,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def batches(df: DataFrame, split: str) -> list[DataFrame]:
-    return [df.where(f"pmod({split}, {BATCHES}) = {i}") for i in range(BATCHES)]
+    """Every row in one batch; those without a key to split by are in the first."""
+    return [df.where(f"pmod(coalesce({split}, 0), {BATCHES}) = {i}") for i in range(BATCHES)]
 
 
 def folded(spark: SparkSession, d: str, source: str = "events", split: str = "event_id", **options) -> View:
@@ -217,8 +218,10 @@ def join_left(spark, d):
 
 @query("SELECT c_mktsegment, count(*) AS n, count(o_orderkey) AS matched FROM (SELECT *, o_orderkey % 3 AS b FROM orders) o RIGHT JOIN (SELECT *, unnest(range(3)) AS b FROM customer) c ON o_custkey = c_custkey AND o.b = c.b GROUP BY c_mktsegment")
 def join_right(spark, d):
-    """Each of the three batches keeps all customers."""
-    return _join_view(spark, d, "right", {"c_mktsegment": "c_mktsegment"}, {"n": A.count(), "matched": A.count("o_orderkey")})
+    """Each of the three batches keeps all customers; orders without a key are in none of them."""
+    t = table(spark, d, "customer")
+    prepare = lambda b: b.where("o_orderkey IS NOT NULL").join(t, b["o_custkey"] == t["c_custkey"], "right")
+    return rows(spark, d, "orders", "o_orderkey", prepare=prepare, keys={"c_mktsegment": "c_mktsegment"}, aggs={"n": A.count(), "matched": A.count("o_orderkey")})
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000) GROUP BY o_orderpriority")
@@ -643,7 +646,7 @@ def transforms(spark, d):
 def stream_targets(spark, d):
     """A batch sent to another view only, and one sent twice under its id."""
     e = Engine(spark, clock=lambda: AS_OF)
-    t = table(spark, d, "events")
+    t = table(spark, d, "events").where("event_id IS NOT NULL")
     e.create_stream("events", t.schema)
     e.create_view("a", "events", aggs={"n": A.count()})
     e.create_view("b", "events", aggs={"n": A.count()})
@@ -658,7 +661,7 @@ def stream_targets(spark, d):
 @query("SELECT count(*) AS n FROM events WHERE event_id % 3 = 0")
 def deactivated(spark, d):
     e = Engine(spark, clock=lambda: AS_OF)
-    t = table(spark, d, "events")
+    t = table(spark, d, "events").where("event_id IS NOT NULL")
     e.create_stream("events", t.schema)
     e.create_view("a", "events", aggs={"n": A.count()})
     for i, b in enumerate(batches(t, "event_id")):
