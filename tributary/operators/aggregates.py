@@ -490,9 +490,9 @@ def jsonb_object_agg(key, value) -> Agg:
 
 
 def json_object_int_sum(x) -> Agg:
-    """Sums of whole numbers by innermost field name over JSON objects, as a JSON object with keys ascending."""
+    """Sums of whole numbers by innermost field name, of any length, over JSON objects, as a JSON object with keys ascending."""
     text = expr(x)
-    pattern = r'"([^"]{1,64})"\s*:\s*(-?\d+)'
+    pattern = r'"([^"]*)"\s*:\s*(-?\d+)'
     names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     cells = F.zip_with(names, numbers, lambda k, v: F.struct(k.alias("k"), v.cast("long").alias("v")))
