@@ -1,11 +1,12 @@
 """Near-duplicate lines against all pairs of lines."""
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 
-from tributary.llm.linedup import LEAST_BYTES, TAU, dedup_lines, pair_parities, within, without_lines
+from tributary.llm.linedup import LEAST_BYTES, TAU, dedup_lines, line_repeats, pair_parities, within, without_lines
 from tributary.llm.queries import op9_line_dedup
 
 
@@ -50,10 +51,10 @@ def brute(rows):
     for i, t in rows:
         if i is not None:
             for n, s in enumerate((t or "").split("\n")):
-                if len(s.encode()) >= LEAST_BYTES:
-                    lines.setdefault((i, n), set()).add(s.encode())
-    bodies = sorted({b for s in lines.values() for b in s})
-    comp = {b: b for b in bodies}
+                lines.setdefault((i, n), set()).add(s.encode())
+    every = {b for s in lines.values() for b in s}
+    bodies = sorted(b for b in every if len(b) >= LEAST_BYTES)
+    comp = {b: b for b in every}
 
     def root(b):
         while comp[b] != b:
@@ -107,12 +108,12 @@ def test_a_frequent_line_with_many_variants(spark):
 
 def test_odd_table(odd):
     df, rows = odd
-    found = dedup_lines(df)
-    out = found.collect()
+    out = dedup_lines(df).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
     removed, _ = brute([(r[0], r[1]) for r in rows])
     assert {(r["doc_id"], n) for r in out for n in r["removed"]} == removed
     texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    found = line_repeats(df)
     kept = without_lines(df, found)
     assert kept.columns == df.columns
     for r in kept.collect():
@@ -124,7 +125,7 @@ def test_odd_table(odd):
 
 
 def test_empty(empty):
-    assert dedup_lines(empty).collect() == [] and without_lines(empty, dedup_lines(empty)).collect() == []
+    assert dedup_lines(empty).collect() == [] and without_lines(empty, line_repeats(empty)).collect() == []
 
 
 def test_short_repeats(spark, tmp_path):
@@ -135,20 +136,20 @@ def test_short_repeats(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {1: (0, 0), 2: (2, 1), 3: (3, 0), 4: (1, 0)}
-    out = {r["doc_id"]: (r["removed"], r["n_near"]) for r in dedup_lines(docs, short_repeats=True).collect()}
-    assert out == {1: ([], 0), 2: ([0, 3], 1), 3: ([0, 1, 2], 0), 4: ([0], 0)}
+    out = {r["doc_id"]: (r["removed"], r["n_near"], r["text"]) for r in dedup_lines(docs).collect()}
+    assert out == {1: ([], 0, rows[0][1]), 2: ([0, 3], 1, "Les!\n"), 3: ([0, 1, 2], 0, "Les"), 4: ([0], 0, None)}
 
 
-def test_short_repeats_against_all_pairs(spark):
-    """The edit join's classes are as before; short lines add their exact repeats."""
-    rows = random_rows(4, 80)
-    removed, near = brute(rows)
-    seen = set()
-    for i, t in rows:
-        for n, s in enumerate(t.split("\n")):
-            if len(s.encode()) < LEAST_BYTES:
-                if s in seen:
-                    removed.add((i, n))
-                seen.add(s)
-    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), short_repeats=True).collect()
-    assert {(r["doc_id"], n) for r in out for n in r["removed"]} == removed and sum(r["n_near"] for r in out) == len(near)
+def test_query_on_null_and_repeated_ids(spark, odd, tmp_path):
+    """One row a document, whatever its id; what is left of each text is hashed."""
+    df, rows = odd
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op9_line_dedup(spark, str(tmp_path)).collect()
+    removed, _ = brute([(r[0], r[1]) for r in rows])
+
+    def left(i, t):
+        gone = [] if i is None else [n for j, n in removed if j == i]
+        kept = "\n".join(s for n, s in enumerate((t or "").split("\n")) if n not in gone)
+        return i, (t or "").count("\n") + 1, len(gone), hashlib.sha256(kept.encode()).hexdigest()
+
+    assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in out) == Counter(left(r[0], r[1]) for r in rows)

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 SLICE_BYTES = 3 << 20
 PARITY_ROWS = 4096
@@ -59,17 +60,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: The most rows of ids or short lists that are broadcast; a larger table is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: The largest table that is broadcast, by bytes; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS, wide: str | None = None) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if it has `rows` at most.
+def hinted(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows take BROADCAST_BYTES at most. Its bytes are counted, not guessed."""
+    width, measured = 48, []  # what a hash table has for each row
 
-    wide: an array column; its elements count as rows too, since their number has no bound by row.
-    """
-    n, more = df.agg(F.count("*"), F.sum(F.size(wide)) if wide else F.lit(0)).first()
-    return F.broadcast(df) if n + (more or 0) <= rows else df
+    def add(c: Column, kind: DataType) -> None:
+        nonlocal width
+        if isinstance(kind, StructType):
+            width += 8
+            for f in kind.fields:
+                add(c[f.name], f.dataType)
+        elif isinstance(kind, ArrayType):
+            width += 24
+            measured.append(F.size(c) * 8 if not isinstance(kind.elementType, (StringType, BinaryType)) else F.aggregate(c, F.lit(0), lambda n, x: n + 16 + F.octet_length(x)))
+        elif isinstance(kind, (StringType, BinaryType)):
+            width += 16
+            measured.append(F.octet_length(c))
+        else:
+            width += 8
+
+    for f in df.schema.fields:
+        add(df[f.name], f.dataType)
+    n, more = df.agg(F.count("*"), F.sum(sum((F.coalesce(m, F.lit(0)) for m in measured), F.lit(0).cast("long")))).first()
+    return F.broadcast(df) if n * width + (more or 0) <= BROADCAST_BYTES else df
 
 
 def conflicting_ids(ws: Workspace, rows: DataFrame, value: str) -> DataFrame | None:

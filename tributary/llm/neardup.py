@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Workspace, conflicting_ids, hinted, list_array, longs, mix, parities, raw, shingles, slices
-from .linking import link_by_buckets
+from .linking import distinct_buckets, link_by_buckets
 
 M, R = 14, 3
 LANES = 7
@@ -68,6 +68,40 @@ def _sets(k: int):
     return run
 
 
+def _alike(percent: int):
+    """What linked sets meet, by sizes, bitmaps and min-hashes, in the first table that they share.
+
+    Of two linked sets the smaller has percent of the larger at least. i >= p u and u = (sum + d) / 2, where d are
+    in one set only, give d <= (1 - p) / (1 + p) of the sum; bitmaps differ in d bits at most. Of the min-hashes
+    hardly fewer than p agree. Of the tables of a pair the first is that with no earlier half key that agrees (32 bits of
+    each are compared).
+    """
+    s, n = percent / 100, 2 * M * R
+    most = int(n * (1 - s + 6 * (s * (1 - s) / n) ** 0.5))
+    ones, tops = (U(sum(x << (8 * j) for j in range(LANES))) for x in (0x7F, 0x80))
+    low = U(0xFFFFFFFF)
+
+    def alike(column, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+        size = column("size")
+        at = np.flatnonzero((100 * size[l] >= percent * size[r]) & (100 * size[r] >= percent * size[l]))
+        room = (100 - percent) * (size[l[at]] + size[r[at]]) // (100 + percent)
+        for names, weigh, limit in (([f"p{j}" for j in range(BITS // 64)], lambda x: x, None), ([f"s{j}" for j in range(n // LANES)], lambda x: (x + ones) & tops, most)):
+            apart = np.zeros(len(at), np.int64)
+            for name in names:
+                x = column(name).view(U)
+                apart += np.bitwise_count(weigh(x[l[at]] ^ x[r[at]]))
+                ok = apart <= (room if limit is None else limit)
+                at, apart, room = at[ok], apart[ok], room[ok]
+        for t in range(2 * M):
+            x = column(f"h{t // 2}").view(U)
+            x = x[l[at]] ^ x[r[at]]
+            same = (x >> U(32) if t % 2 == 0 else x & low) == 0
+            at = at[(column("i" if t < M else "j")[l[at]] <= t) | ~same]
+        return at
+
+    return alike
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of k-word shingles are alike: 100 * intersection >= percent * union.
 
@@ -78,8 +112,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows of null id, which are kept with a null component. Other columns are ignored, and an empty table gives no rows.
 
     Documents of one set are one class from the start, so copies are never paired. Classes meet by half keys:
-    only half keys that two classes share are paired to table keys. `link_by_buckets` then tests candidates
-    on full sets, joined as arrays of 64-bit shingle hashes.
+    only half keys that two classes share are paired to table keys, and of half keys (and table keys) that the
+    same classes share only the first. `link_by_buckets` then tests candidates on full sets, joined as arrays
+    of 64-bit shingle hashes.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -91,18 +126,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if odd is not None:
         some = some.join(odd, "id", "left_anti")
     least = ws.keep(some.groupBy("same").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "classes")
-    # a half key that only one class has leads to no pair
-    half = least.select("id", F.posexplode("halves").alias("i", "h"))
-    shared = ws.keep(half.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h"), "halves")
+    # a half key that only one class has leads to no pair, and of those that the same classes have one will do
+    half = least.select("id", F.posexplode("halves").alias("i", "h")).withColumn("first", F.col("i") < M)
+    shared = distinct_buckets(ws, half, ["first", "i", "h"], apart=["first"]).select("i", "h")
     mine = lambda c: F.collect_list(F.when(c, F.struct("i", F.xxhash64("i", "h").alias("h"))))
-    left = half.join(shared, ["i", "h"], "left_semi").groupBy("id").agg(mine(F.col("i") < M).alias("p"), mine(F.col("i") >= M).alias("q")).where("size(p) > 0 and size(q) > 0")
+    left = half.join(shared, ["i", "h"], "left_semi").groupBy("id").agg(mine(F.col("first")).alias("p"), mine(~F.col("first")).alias("q")).where("size(p) > 0 and size(q) > 0")
     keys = left.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select(F.xxhash64("p.h", "q.h").alias("bucket"), "id", F.col("p.i").cast("byte").alias("i"), F.col("q.i").cast("byte").alias("j"))
     keys = ws.keep(keys, "keys")
-    twice = ws.keep(keys.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
-    members = ws.keep(keys.join(twice, "bucket", "left_semi").withColumn("base", F.lit(True)), "members")
+    tables = distinct_buckets(ws, keys, ["i", "j", "bucket"])
+    members = ws.keep(keys.join(tables, ["i", "j", "bucket"]).withColumn("base", F.lit(True)), "members")
     words, lanes = BITS // 64, 2 * M * R // LANES
     two = lambda j: F.shiftleft(F.col("halves")[2 * j], 32).bitwiseOR(F.col("halves")[2 * j + 1].bitwiseAND(F.lit(0xFFFFFFFF)))
-    payload = least.select("id", "n", *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)], *[two(j).alias(f"h{j}") for j in range(M)])
+    payload = least.select("id", F.col("n").alias("size"), *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)], *[two(j).alias(f"h{j}") for j in range(M)])
 
     wanted = ws.keep(members.select("id").distinct(), "wanted")
     sets = ws.keep(slim.join(hinted(wanted), "id", "left_semi").mapInArrow(_sets(k), "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
@@ -113,25 +148,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t")).where(f"100 * i >= {percent} * (t - i)").select("a", "b")
 
-    # Of two linked sets the smaller has percent of the larger at least. i >= p u and u = (sum + d) / 2, where d are
-    # in one set only, give d <= (1 - p) / (1 + p) of the sum; bitmaps differ in d bits at most. Of the min-hashes
-    # hardly fewer than p agree.
-    size = (100 * F.col("l.n") >= percent * F.col("r.n")) & (100 * F.col("r.n") >= percent * F.col("l.n"))
-    lit = lambda x: F.lit(x).cast("long")
-    ones, tops = sum(0x7F << (8 * j) for j in range(LANES)), sum(0x80 << (8 * j) for j in range(LANES))
-    apart = sum((F.bit_count(F.col(f"l.p{j}").bitwiseXOR(F.col(f"r.p{j}"))) for j in range(words)), lit(0))
-    few = apart * (100 + percent) <= (100 - percent) * (F.col("l.n") + F.col("r.n"))
-    differ = sum((F.bit_count((F.col(f"l.s{j}").bitwiseXOR(F.col(f"r.s{j}")) + lit(ones)).bitwiseAND(lit(tops))) for j in range(lanes)), lit(0))
-    n = 2 * M * R
-    s = percent / 100
-    floor_ = s - 6 * (s * (1 - s) / n) ** 0.5
-    # a pair is listed in the first table that it shares: no earlier half keys (32 bits of each) agree
-    xor = [F.col(f"l.h{j}").bitwiseXOR(F.col(f"r.h{j}")) for j in range(M)]
-    once = F.lit(True)
-    for t in range(2 * M):
-        same = (F.shiftrightunsigned(xor[t // 2], 32) if t % 2 == 0 else F.shiftleft(xor[t // 2], 32)) == 0
-        once = once & ((F.col("l.i" if t < M else "l.j") <= t) | ~same)
-    comp, _ = link_by_buckets(ws, members, verify, payload, size & few & (differ <= int(n * (1 - floor_))) & once)
+    comp, _ = link_by_buckets(ws, members, verify, payload, _alike(percent))
 
     named = least.select("same", "id").join(comp, "id", "left").select("same", F.coalesce("comp", "id").alias("component"))
     named = ws.keep(named, "named")

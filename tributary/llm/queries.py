@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
 from .fingerprint import compare_with_next
 from .knn import top_k_inner
-from .linedup import dedup_lines, without_lines
+from .linedup import dedup_lines
 from .mix import mix_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -58,10 +57,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    found = Workspace(spark, "op9").keep(dedup_lines(docs, short_repeats=True), "lines")
-    kept = without_lines(docs, found).select(F.col("doc_id").alias("k"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
-    return found.join(kept, found["doc_id"].eqNullSafe(kept["k"])).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_near", "kept_sha256")
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    return dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_near", kept)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
