@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Workspace
-from tributary.llm.linedup import dedup_lines, without_lines
+from tributary.llm.linedup import line_repeats, without_lines
 from tributary.llm.mix import mix_documents, repeat_documents
 from tributary.llm.neardup import one_of_each_group
 from tributary.llm.packing import pack_documents
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document (or line) has go, and documents that have nothing left; n_chars follows."""
-    out = without_lines(docs, dedup_lines(docs), drop_empty=True)
+    out = without_lines(docs, line_repeats(docs), drop_empty=True)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else out[c] for c in out.columns])
 
 
