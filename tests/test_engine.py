@@ -244,7 +244,26 @@ def test_streaming_survives_a_restart(spark, tmp_path):
 
 def test_forward(spark, engine):
     engine.create_view("v", "s", aggs={"n": A.count()})
-    put = forward(engine, "s")
+    put = forward(engine, "s", "t")
     for number in (0, 1, 1):
         put(spark.createDataFrame([(1,)], "x int"), number)
     assert rows(engine.read("v")) == [(2,)]
+
+
+def test_forward_of_two_tables(spark, engine):
+    """Batches of two tables have ids of their own."""
+    engine.create_view("n", "s", aggs={"n": A.count()})
+    for name in ("a", "b", "a"):
+        forward(engine, "s", name)(spark.createDataFrame([(1, "x")], "x int, y string"), 0)
+    assert rows(engine.read("n")) == [(2,)]
+
+
+def test_ids_are_kept_forever():
+    from tributary.sources.stores import BatchIds
+
+    ids = BatchIds()
+    for i in [*range(0, 3000, 2), *range(1, 3000, 2)]:
+        ids = ids.plus(f"a/b#{i}") if i % 500 in (0, 1, 2) or i < 40 else ids
+    ids = ids.plus("other").plus("x#y").plus("a/b#7")
+    assert "a/b#0" in ids and "a/b#39" in ids and "a/b#2501" in ids and "a/b#41" not in ids and "other" in ids and "x#y" in ids and "b#0" not in ids
+    assert len(ids.ranges["a/b"]) == 6 and BatchIds(ids.ranges, ids.others).plus("a/b#40").ranges["a/b"][0] == [0, 40]

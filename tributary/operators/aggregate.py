@@ -60,6 +60,13 @@ class Agg:
     def finished(self, alias: str) -> Column:
         return self.final(*[F.col(n) for n in self.columns(alias)])
 
+    def of_states(self, alias: str, struct: str) -> Agg:
+        """The aggregate of rows that have states of this one, named alias, in a struct column."""
+        if not self.combinable:
+            raise ValueError(f"{self.name} has no state that can be combined")
+        make = lambda p, n: (lambda keep: p.merge(keep(F.col(struct)[n])))
+        return replace(self, parts=tuple(Part(p.suffix, make(p, n), p.merge) for p, n in zip(self.parts, self.columns(alias))), condition=None, ordered=False)
+
 
 @dataclass(frozen=True)
 class FrameAgg(Agg):
@@ -77,6 +84,10 @@ class FrameAgg(Agg):
     def merge_frame(self, df: DataFrame, keys: list[str], out: str) -> DataFrame:
         raise NotImplementedError
 
+    def finish_frame(self, df: DataFrame, keys: list[str], alias: str) -> DataFrame | None:
+        """Keys and results by a query of its own, of the groups that have any; None: by the final expression."""
+        return None
+
 
 @dataclass(frozen=True)
 class CellAgg(FrameAgg):
@@ -86,6 +97,9 @@ class CellAgg(FrameAgg):
     fold: Callable[[Column], Column] = F.sum
     refold: Callable[[Column], Column] | None = None
 
+    def of_states(self, alias: str, struct: str) -> Agg:
+        return replace(self, cells=F.col(struct)[self.columns(alias)[0]], fold=self.refold or self.fold, condition=None, ordered=False)
+
     def _gather(self, rows: DataFrame, fold: Callable[[Column], Column], keys: list[str], out: str) -> DataFrame:
         per = rows.groupBy(*keys, F.col("_e.k").alias("_k")).agg(fold(F.col("_e.v")).alias("_v"))
         return per.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v"))).alias(out))
@@ -104,6 +118,9 @@ class FirstAgg(FrameAgg):
     n: int = 1
     struct_of: Column | None = None
 
+    def of_states(self, alias: str, struct: str) -> Agg:
+        raise ValueError(f"states of {self.name} can't be combined from changes")
+
     def _gather(self, rows: DataFrame, keys: list[str], out: str) -> DataFrame:
         from pyspark.sql import Window
 
@@ -147,4 +164,8 @@ def merge_states(states: DataFrame, keys: list[str], aggs: dict[str, Agg]) -> Da
 
 def finish(states: DataFrame, keys: list[str], aggs: dict[str, Agg]) -> DataFrame:
     """Keys and results."""
-    return states.select(*keys, *[agg.finished(a).alias(a) for a, agg in aggs.items()])
+    frames = {a: f for a, agg in aggs.items() if isinstance(agg, FrameAgg) and (f := agg.finish_frame(states, keys, a)) is not None}
+    out = states.select(*keys, *[agg.finished(a).alias(a) for a, agg in aggs.items() if a not in frames])
+    for f in frames.values():
+        out = _joined(out, f, keys)
+    return out.select(*keys, *aggs) if frames else out

@@ -7,8 +7,9 @@ which keep them. Order of arrival, where it matters (keyed ties, buckets), is th
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sketches as S
@@ -290,33 +291,47 @@ def dist_agg(x, k: int = 4000) -> Agg:
     return Agg("dist_agg", parts, lambda s, lo, hi, n: F.struct(s.alias("sketch"), lo.alias("low"), hi.alias("high"), n.alias("n")))
 
 
-def percentile_cont(p: float | list[float], x, exact: bool = False, k: int = 4000) -> Agg:
-    """The p-quantile (or an array of them) of x, ascending; null without values.
-
-    By a sketch; exact: by counts of each distinct value, with linear interpolation.
-    """
-    ps = p if isinstance(p, (list, tuple)) else [p]
+def _checked(p: float | list[float]) -> list[float]:
+    ps = list(p) if isinstance(p, (list, tuple)) else [p]
     if any(not 0 <= q <= 1 for q in ps):
         raise ValueError("a percentile lies between 0 and 1")
-    shape = (lambda cols: F.array(*cols)) if isinstance(p, (list, tuple)) else (lambda cols: cols[0])
-    if not exact:
-        base = dist_agg(x, k)
-        return Agg("percentile_cont", base.parts, lambda *c: F.when(c[3] > 0, shape([S.dist_quantile(base.final(*c), q) for q in ps])))
-    c = expr(x).cast("double")
+    return [float(q) for q in ps]
 
-    def final(cells: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<v:double,end:bigint>>").alias("all"))
-        run = F.aggregate(F.array_sort(cells), start, lambda a, e: F.struct((a["n"] + e["v"]).alias("n"), F.concat(a["all"], F.array(F.struct(e["k"].alias("v"), (a["n"] + e["v"]).alias("end")))).alias("all")))
 
-        def quantile(q: float) -> Column:
-            at = (run["n"] - 1) * F.lit(float(q))
-            value = lambda r: F.element_at(F.filter(run["all"], lambda e: e["end"] > r), 1)["v"]
-            lo, hi = value(F.floor(at)), value(F.ceil(at))
-            return lo + (hi - lo) * (at - F.floor(at))
+@dataclass(frozen=True)
+class QuantileAgg(CellAgg):
+    """Exact quantiles: values and their counts, found by running sums over the sorted values of a group."""
 
-        return F.when(F.size(cells) > 0, shape([quantile(q) for q in ps]))
+    ps: tuple[float, ...] = ()
+
+    def finish_frame(self, df: DataFrame, keys: list[str], alias: str) -> DataFrame:
+        cells = df.select(*keys, F.explode(self.columns(alias)[0]).alias("_e")).select(*keys, F.col("_e.k").alias("_k"), F.col("_e.v").alias("_v"))
+        by = Window.partitionBy(*keys)
+        run = cells.withColumn("_end", F.sum("_v").over(by.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_v").over(by))
+
+        def value(rank: Column) -> Column:
+            return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_v") <= rank), F.col("_k")))
+
+        at = [(F.col("_n") - 1) * F.lit(q) for q in self.ps]
+        parts = [c for i, a in enumerate(at) for c in (value(F.floor(a)).alias(f"_l{i}"), value(F.ceil(a)).alias(f"_h{i}"), F.max(a - F.floor(a)).alias(f"_f{i}"))]
+        out = run.groupBy(*keys).agg(*parts)
+        each = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(self.ps))]
+        return out.select(*keys, self.final(*each).alias(alias))
+
+
+def percentile_cont(p: float | list[float], x, exact: bool = False, k: int = 4000) -> Agg:
+    """The p-quantile (or an array of them) of x, ascending; null without values.
 
-    return CellAgg("percentile_cont", final=final, cells=F.when(c.isNotNull(), F.array(F.struct(c.alias("k"), F.lit(1).cast("long").alias("v")))))
+    By a sketch: the value of that rank, since Spark's sketch takes constant ranks only and so cannot interpolate by
+    the number of values. exact: by counts of each distinct value, with linear interpolation.
+    """
+    ps = _checked(p)
+    shape = (lambda *cols: F.array(*cols)) if isinstance(p, (list, tuple)) else (lambda *cols: cols[0])
+    c = expr(x).cast("double")
+    if exact:
+        return QuantileAgg("percentile_cont", final=shape, ps=tuple(ps), cells=F.when(c.isNotNull(), F.array(F.struct(c.alias("k"), F.lit(1).cast("long").alias("v")))))
+    base = dist_agg(x, k)
+    return Agg("percentile_cont", base.parts, lambda *s: F.when(s[3] > 0, shape(*[S.dist_quantile(base.final(*s), q) for q in ps])))
 
 
 # frequencies
@@ -489,13 +504,29 @@ def jsonb_object_agg(key, value) -> Agg:
     return CellAgg("jsonb_object_agg", final=final, cells=F.array(F.struct(k.alias("k"), v.alias("v"))), fold=F.max, ordered=True)
 
 
+#: Field names with their colon, and scalars.
+_JSON_TOKEN = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?|-?[0-9][-+.0-9eE]*|true|false|null)'
+
+
 def json_object_int_sum(x) -> Agg:
-    """Sums of whole numbers by innermost field name, of any length, over JSON objects, as a JSON object with keys ascending."""
-    text = expr(x)
-    pattern = r'"([^"]*)"\s*:\s*(-?\d+)'
-    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    cells = F.zip_with(names, numbers, lambda k, v: F.struct(k.alias("k"), v.cast("long").alias("v")))
+    """Sums of whole numbers by innermost field name, of any length, over JSON objects, as a JSON object with keys ascending.
+
+    Scalars in an array count for the array's field. Text that is no JSON and scalars that are no whole numbers are errors.
+    """
+    text = expr(x).cast("string")
+    pair = "array<struct<k:string,v:bigint>>"
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(1))
+    bad = lambda t: F.raise_error(F.concat(F.lit("json_object_int_sum: not a whole number: "), t)).cast("bigint")
+    number = lambda t: F.coalesce(F.trim(t, F.lit('"')).try_cast("bigint"), bad(t))
+
+    def step(state: Column, t: Column) -> Column:
+        is_key = t.endswith(":")
+        key = F.when(is_key, F.get_json_object(F.concat(F.lit("["), F.regexp_replace(t, r"\s*:$", ""), F.lit("]")), "$[0]")).otherwise(state["key"])
+        return F.struct(key.alias("key"), F.when(is_key, state["all"]).otherwise(F.concat(state["all"], F.array(F.struct(state["key"].alias("k"), number(t).alias("v"))))).cast(pair).alias("all"))
+
+    start = F.struct(F.lit(None).cast("string").alias("key"), F.array().cast(pair).alias("all"))
+    valid = F.when(F.try_parse_json(text).isNull(), F.raise_error(F.lit("json_object_int_sum: not JSON")).cast(pair)).otherwise(F.aggregate(tokens, start, step, lambda s: s["all"]))
+    cells = F.when(text.isNotNull(), valid)
 
     def final(c: Column) -> Column:
         return F.when(F.size(c) > 0, F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(c), lambda e: F.concat(json_text(e["k"]), F.lit(":"), e["v"].cast("string"))), ","), F.lit("}")))
@@ -513,3 +544,8 @@ SQL_NAMES: dict[str, tuple[Callable[..., Agg], int]] = {
 
 #: Aggregates with constants before WITHIN GROUP.
 WITHIN_GROUP: dict[str, Callable[..., Agg]] = {"rank": rank, "dense_rank": dense_rank, "percent_rank": percent_rank, "cume_dist": cume_dist, "percentile_cont": percentile_cont}
+
+
+def register(name: str, make: Callable[..., Agg]) -> None:
+    """Gives the SQL surface an aggregate of the user's own: make takes its arguments as SQL text."""
+    SQL_NAMES[name.lower()] = (make, 0)

@@ -17,6 +17,10 @@ from .view import View
 MOST_QUERIES = 1024
 
 
+class QueryFailed(RuntimeError):
+    """Readers of a batch that failed, with their errors; all others have it."""
+
+
 @dataclass
 class Transform:
     """Rows of a stream, changed and passed on: to another stream, to a function of a DataFrame, or only to readers of its output."""
@@ -168,11 +172,12 @@ class Engine:
 
     # rows
 
-    def insert(self, stream: str, df: DataFrame, columns: list[str] | None = None, targets: list[str] | None = None, batch_id: str | None = None, as_of: dt.datetime | None = None) -> None:
+    def insert(self, stream: str, df: DataFrame, columns: list[str] | None = None, targets: list[str] | None = None, batch_id: str | None = None, as_of: dt.datetime | None = None, strict: bool = False) -> None:
         """Writes a batch to a stream: each of its readers takes it, and what they put out goes on to theirs.
 
         targets: only these readers. batch_id: readers that have added this batch already leave it. A reader
-        that fails is skipped and its error kept; the others go on.
+        that fails is skipped and its error kept; the others go on. strict: once all have run, QueryFailed is raised
+        if any has failed, so that the writer can try the batch again.
         """
         if stream not in self.streams:
             raise ValueError(f"there is no stream {stream!r}")
@@ -187,7 +192,11 @@ class Engine:
         stats["input_batches"] += 1
         if self.count_rows:
             stats["input_rows"] += rows.count()
+        before = {n: q.stats["errors"] for n, q in self.queries.items()}
         self._feed(stream, rows, targets, batch_id, now)
+        failed = [f"{n}: {q.error}" for n, q in self.queries.items() if q.stats["errors"] > before.get(n, 0)]
+        if strict and failed:
+            raise QueryFailed("; ".join(failed))
 
     def copy(self, stream: str, path: str | list[str], format: str = "text", columns: list[str] | None = None, targets: list[str] | None = None, batch_id: str | None = None, as_of: dt.datetime | None = None, **options) -> None:
         """Writes delimited files to a stream; options as in COPY."""
@@ -212,7 +221,8 @@ class Engine:
     def _run(self, name: str, q: Query, rows: DataFrame, batch_id: str | None, now: dt.datetime) -> None:
         onward = self.readers(name)
         if isinstance(q.item, View):
-            change = q.item.ingest(rows, batch_id, now if q.item.window else None, changes=bool(onward))
+            # what a sliding window shows changes with time, so its readers hear of it at ticks only
+            change = q.item.ingest(rows, batch_id, now if q.item.window else None, changes=bool(onward) and not q.item.window)
             out = None if change is None else change.withColumn(ARRIVAL, F.lit(now).cast("timestamp"))
         else:
             if not onward and q.item.into is None and q.item.output is None:
@@ -226,6 +236,8 @@ class Engine:
                 out = out.withColumn(ARRIVAL, F.lit(now).cast("timestamp"))
         if onward and out is not None:
             self._feed(name, out, None, None if batch_id is None else f"{name}/{batch_id}", now)
+        if isinstance(q.item, View):
+            q.item.settle()  # readers have the changes by now, which are made from the pieces
 
     def tick(self, as_of: dt.datetime | None = None) -> None:
         """Lets time pass: changes of sliding windows go to the readers of their output."""
@@ -245,9 +257,10 @@ class Engine:
             raise ValueError(f"no rows have reached {name!r} yet")
         return out
 
-    def combine(self, name: str, columns, group_by=None, where=None, having=None, as_of: dt.datetime | None = None) -> DataFrame:
+    def combine(self, name: str, columns, group_by=None, where=None, having=None, as_of: dt.datetime | None = None, pieces: DataFrame | None = None) -> DataFrame:
+        """pieces: the view's states with further columns, such as those of a table that they are joined with."""
         view = self.view(name)
-        return view.combine(columns, group_by, where, having, (as_of or self.clock()) if view.window else None)
+        return view.combine(columns, group_by, where, having, (as_of or self.clock()) if view.window else None, pieces)
 
     def combine_table(self, name: str, states: DataFrame) -> None:
         """Adds a table of partial states, of the columns of the view's own state."""

@@ -69,7 +69,7 @@ class View:
         if sliding_window is not None:
             if ttl is not None:
                 raise ValueError("a sliding window and a ttl exclude each other")
-            if distinct_on:
+            if distinct or distinct_on:
                 raise ValueError("DISTINCT can't be used with a sliding window")
             self.window = interval_micros(sliding_window)
             if self.window < 1_000_000:
@@ -217,7 +217,10 @@ class View:
     # batches
 
     def ingest(self, batch: DataFrame, batch_id: str | None = None, as_of: dt.datetime | None = None, changes: bool = False) -> DataFrame | None:
-        """Adds a batch; one whose id was added before changes nothing. Returns what changed, if asked (see `changed`)."""
+        """Adds a batch; one whose id was added before changes nothing. Returns what changed, if asked (see `changed`).
+
+        Whoever asks calls `settle` after reading the changes; else pieces of state are merged here when there are many.
+        """
         if batch_id is not None and self.store.has(batch_id):
             return None
         number = self.store.next_batch()
@@ -227,9 +230,14 @@ class View:
         out = None
         if changes:
             out = self.changed(before, self.store.read() if isinstance(self.store, MemoryStore) else (delta if before is None else before.unionByName(delta)), delta)
+        else:
+            self.settle()
+        return out
+
+    def settle(self) -> None:
+        """Merges the pieces of state if there are many."""
         if self.store.crowded():
             self.compact()
-        return out
 
     def compact(self) -> None:
         state = self.state()
@@ -272,7 +280,7 @@ class View:
         pieces = self.store.read()
         if pieces is None:
             return None
-        now, last = self.overlay(pieces, as_of), self._last
+        now, last = self.store.snapshot(self.overlay(pieces, as_of)), self._last
         self._last = now
         keys = self.groups
         if last is None:

@@ -13,25 +13,57 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class BatchIds:
+    """Ids of added batches, all of them: those of the form source#number as ranges of numbers for each source, others one by one."""
+
+    def __init__(self, ranges: dict[str, list[list[int]]] | None = None, others: list[str] | None = None):
+        self.ranges, self.others = {k: [list(r) for r in v] for k, v in (ranges or {}).items()}, list(others or [])
+
+    def __contains__(self, batch_id: str) -> bool:
+        source, mark, number = batch_id.rpartition("#")
+        if mark and number.isdecimal():
+            return any(a <= int(number) <= b for a, b in self.ranges.get(source, ()))
+        return batch_id in self.others
+
+    def plus(self, batch_id: str | None) -> BatchIds:
+        out = BatchIds(self.ranges, self.others)
+        if batch_id is None or batch_id in out:
+            return out
+        source, mark, number = batch_id.rpartition("#")
+        if mark and number.isdecimal():
+            joined: list[list[int]] = []
+            for a, b in sorted([*out.ranges.get(source, []), [int(number)] * 2]):
+                if joined and a == joined[-1][1] + 1:
+                    joined[-1][1] = b
+                else:
+                    joined.append([a, b])
+            out.ranges[source] = joined
+        else:
+            out.others.append(batch_id)
+        return out
+
+
 class MemoryStore:
     """Pieces as DataFrames. Nothing is written: reading computes them anew, so it suits queries over fixed inputs."""
 
     def __init__(self) -> None:
         self.pieces: list[DataFrame] = []
-        self.done: set[str] = set()
+        self.done = BatchIds()
 
     def has(self, batch_id: str) -> bool:
         return batch_id in self.done
 
     def append(self, df: DataFrame, batch_id: str | None = None) -> None:
         self.pieces.append(df)
-        if batch_id is not None:
-            self.done.add(batch_id)
+        self.done = self.done.plus(batch_id)
 
     def replace(self, df: DataFrame | None, batch_id: str | None = None) -> None:
         self.pieces = [] if df is None else [df]
-        if batch_id is not None:
-            self.done.add(batch_id)
+        self.done = self.done.plus(batch_id)
+
+    def snapshot(self, df: DataFrame) -> DataFrame:
+        """A table that later changes of the store leave as it is."""
+        return df
 
     def read(self) -> DataFrame | None:
         out = None
@@ -50,11 +82,10 @@ class TableStore:
     """Pieces as Parquet folders under root; a numbered manifest names those that count.
 
     A commit writes its folder first and then the next manifest under a new name, so a reader sees the state
-    before or after it, and a batch id is applied once even if a job is tried again.
+    before or after it, and a batch id is applied once even if a job is tried again. Pieces that a merge has
+    replaced stay until the next merge, for those who still read them.
     """
 
-    KEPT_IDS = 1000
-
     def __init__(self, spark: SparkSession, root: str, most: int = 16):
         self.spark, self.root, self.most = spark, root.rstrip("/"), most
         jvm = spark._jvm
@@ -67,10 +98,10 @@ class TableStore:
         names = [f.getPath().getName() for f in self.fs.listStatus(self.path(self.root))]
         numbers = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
         self.number = numbers[-1] if numbers else -1
-        self.manifest = {"pieces": [], "batches": [], "count": 0}
+        self.manifest = {"pieces": [], "ranges": {}, "batches": [], "count": 0, "replaced": [], "snapshots": []}
         if numbers:
             lines = self.spark.read.text(f"{self.root}/manifest-{self.number:08d}.json", wholetext=True).first()
-            self.manifest = json.loads(lines[0])
+            self.manifest |= json.loads(lines[0])
 
     def _commit(self, manifest: dict) -> None:
         number = self.number + 1
@@ -86,25 +117,41 @@ class TableStore:
         if number >= 2 and self.fs.exists(old):
             self.fs.delete(old, False)
 
+    def _ids(self) -> BatchIds:
+        return BatchIds(self.manifest["ranges"], self.manifest["batches"])
+
     def has(self, batch_id: str) -> bool:
-        return batch_id in self.manifest["batches"]
+        return batch_id in self._ids()
 
     def _write(self, df: DataFrame) -> list:
         name = f"piece-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
         return [name, df.schema.json()]
 
-    def _ids(self, batch_id: str | None) -> list[str]:
-        return ([*self.manifest["batches"], *([batch_id] if batch_id is not None else [])])[-self.KEPT_IDS :]
+    def _next(self, pieces: list, batch_id: str | None, **more) -> dict:
+        ids = self._ids().plus(batch_id)
+        return self.manifest | {"pieces": pieces, "ranges": ids.ranges, "batches": ids.others, "count": self.manifest["count"] + 1} | more
+
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
+            self.fs.delete(self.path(f"{self.root}/{name}"), True)
 
     def append(self, df: DataFrame, batch_id: str | None = None) -> None:
-        self._commit({"pieces": [*self.manifest["pieces"], self._write(df)], "batches": self._ids(batch_id), "count": self.manifest["count"] + 1})
+        self._commit(self._next([*self.manifest["pieces"], self._write(df)], batch_id))
 
     def replace(self, df: DataFrame | None, batch_id: str | None = None) -> None:
-        old = self.manifest["pieces"]
-        self._commit({"pieces": [] if df is None else [self._write(df)], "batches": self._ids(batch_id), "count": self.manifest["count"] + 1})
-        for name, _ in old:
-            self.fs.delete(self.path(f"{self.root}/{name}"), True)
+        gone = self.manifest["replaced"]
+        old = [name for name, _ in self.manifest["pieces"]]
+        self._commit(self._next([] if df is None else [self._write(df)], batch_id, replaced=old))
+        self._remove(gone)
+
+    def snapshot(self, df: DataFrame) -> DataFrame:
+        """A table that later changes of the store leave as it is, until two more are made."""
+        name, _ = self._write(df)
+        kept = [*self.manifest["snapshots"], name]
+        self._commit(self.manifest | {"snapshots": kept[-2:]})
+        self._remove(kept[:-2])
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def read(self) -> DataFrame | None:
         pieces = self.manifest["pieces"]
