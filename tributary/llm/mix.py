@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, hinted
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARDS = 256
+#: Shards of a source at least, and rows that a shard has at most when one source has them all.
+SHARDS, SHARD_ROWS = 256, 50_000
 BLOCK = 16
 
 
@@ -58,38 +59,50 @@ def sainte_lague(t: DataFrame, group: list[str], key: list[str], weight: str, se
     share = F.when(whole > 0, F.col(weight) / whole * F.col(seats)).otherwise(0.0)
     t = t.withColumn("_q", F.floor(share + 0.5).cast("long"))
     t = t.withColumn("_off", (F.col(seats) - F.sum("_q").over(g)).cast("int"))
-    more = F.when(F.col(weight) > 0, F.expr("case when _off > 0 then sequence(_q, _q + _off - 1) when _off < 0 and _q > 0 then sequence(_q - 1, greatest(_q + _off, 0L), -1L) else array() end")).otherwise(F.expr("array()").cast("array<bigint>"))
+    # n seats more (or less) dealt by the same divisor are enough for any rounding, so a row lists its part of 2 n at most
+    n = F.count("*").over(g)
+    reach = lambda extra: F.when(whole > 0, F.floor(F.col(weight) / whole * (F.col(seats) + extra) + 0.5)).otherwise(0).cast("long")
+    t = t.withColumn("_hi", F.least(reach(n), F.col("_q") + F.greatest("_off", F.lit(0)))).withColumn("_lo", F.greatest(reach(-n), F.col("_q") + F.least("_off", F.lit(0)), F.lit(0).cast("long")))
+    more = F.when(F.col(weight) > 0, F.expr("case when _off > 0 and _hi > _q then sequence(_q, _hi - 1) when _off < 0 and _q > _lo then sequence(_q - 1, _lo, -1L) else array() end")).otherwise(F.expr("array()").cast("array<bigint>"))
     cand = t.select(*group, *key, "_off", F.explode(more.cast("array<bigint>")).alias("_s"), F.col(weight).alias("_w")).withColumn("_quot", F.col("_w") / (2 * F.col("_s") + 1))
     high = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("_quot"), *key, "_s")
     low = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_quot", *[F.desc(c) for c in key], F.desc("_s"))
     won = cand.withColumn("_r", F.when(F.col("_off") > 0, F.row_number().over(high)).otherwise(F.row_number().over(low))).where("_r <= abs(_off)").groupBy(*group, *key).agg(F.sum(F.signum("_off")).cast("long").alias("_more"))
-    return t.join(won, [*group, *key], "left").withColumn(out, F.col("_q") + F.coalesce("_more", F.lit(0))).drop("_q", "_off", "_more")
+    return t.join(won, [*group, *key], "left").withColumn(out, F.col("_q") + F.coalesce("_more", F.lit(0))).drop("_q", "_off", "_more", "_hi", "_lo")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block: int = BLOCK, shards: int = SHARDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block: int = BLOCK, shards: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words the mix takes of each document, repeats counted.
 
     Returns id, source, size, source_size, target and taken; taken is at most cap * size, and a document at the
     end of what its shard takes may be taken in part. Null texts have no words; a null source is a source of
     its own, the last one. Null ids are dealt like the id 'null'; rows with one id are dealt by their text's
     MD5 too, and equal rows one after the other. Other columns are ignored; an empty table gives no rows. A
-    source's words come within a block or two a shard of its target.
+    source's words are its target, rounded.
 
-    Shards are dealt by the id's MD5 within each source, so that a large source has `shards` windows. Texts are
-    read once: a table of sizes is kept in the shared folder, and only that is sorted.
+    Shards are dealt by the id's MD5 within each source, so that a large source has `shards` windows; as default
+    there are as many as keep a window below SHARD_ROWS or so. Texts are read once: a table of sizes is kept in the shared folder, and only that is sorted.
     """
     ws = Workspace(docs.sparkSession, "mix")
     digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit("null"))))
     text = F.coalesce(docs[text_col], F.lit(""))
     slim = docs.select(docs[id_col].alias("id"), docs[source_col].isNull().alias("no_source"), F.coalesce(docs[source_col], F.lit("")).alias("source"), n_words(text).alias("size"), digest.alias("digest"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
-    slim = ws.keep(slim.withColumn("shard", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")), "sizes")
+    slim = ws.keep(slim, "sizes")
+    shards = shards or max(SHARDS, -(-slim.count() // SHARD_ROWS))
+    slim = slim.withColumn("shard", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int"))
     src = ["no_source", "source"]
     by_shard = ws.keep(slim.groupBy(*src, "shard").agg(F.sum("size").alias("shard_size")), "shards")
     goal = targets(by_shard.groupBy(*src).agg(F.sum("shard_size").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
     goal = ws.keep(sainte_lague(goal, [], src, "target", "_seats", "blocks"), "targets")
     quota = sainte_lague(by_shard.join(goal, src), src, ["shard"], "shard_size", "blocks", "quota")
-    quota = ws.keep(quota.select(*src, "shard", "shard_size", "source_size", "target", F.least(F.col("quota") * block, F.col("shard_size") * cap).alias("words")), "quotas")
+    quota = quota.withColumn("words", F.least(F.col("quota") * block, F.col("shard_size") * cap))
+    # what caps and whole blocks leave of the target goes to the source's next shards with room, or comes from them
+    off = F.round(F.col("target")).cast("long") - F.sum("words").over(Window.partitionBy(*src))
+    before = Window.partitionBy(*src).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    quota = quota.withColumn("off", off).withColumn("room", F.when(F.col("off") > 0, F.col("shard_size") * cap - F.col("words")).otherwise(F.col("words")))
+    moved = F.greatest(F.least(F.abs("off") - F.coalesce(F.sum("room").over(before), F.lit(0)), F.col("room")), F.lit(0))
+    quota = ws.keep(quota.select(*src, "shard", "shard_size", "source_size", "target", (F.col("words") + F.signum("off").cast("long") * moved).alias("words")), "quotas")
     order = Window.partitionBy(*src, "shard").orderBy("digest", "crc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = slim.withColumn("end", F.sum("size").over(order))
     got = laid.join(quota, [*src, "shard"])
