@@ -13,35 +13,48 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
-
-PIVOTS, BLOCK = 64, 4096
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of whole numbers as float64 (exact below 2**53), filled up with zeros."""
-    lists = column.to_pylist() if not isinstance(column, list) else column
-    out = np.zeros((len(lists), dim))
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+from .common import Workspace, hinted
+
+#: Vectors that meet in one group, and pivots: the fewest and the most.
+BLOCK, FEWEST, MOST = 4096, 64, 4096
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray | list, dim: int) -> np.ndarray:
+    """Rows of whole numbers as float64, filled up with zeros. Numbers whose scores could pass 2**53 are refused."""
+    if isinstance(column, list):
+        column = pa.array(column, pa.list_(pa.int64()))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = np.zeros((len(column), dim))
+    if len(column):
+        size = np.diff(column.offsets.to_numpy())
+        flat = column.flatten().to_numpy()
+        row = np.repeat(np.arange(len(column)), size)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+        if len(flat) and dim * float(np.abs(flat).max()) ** 2 >= 2**53:
+            raise OverflowError("components are too large for exact scores")
     return out
 
 
 def _quantise(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist()):
-                if v is None or i is None or None in v:
-                    continue
-                x = np.floor(scale * np.asarray(v, np.float64))
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    out.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "v"])
+            ids, column = b.column("id"), b.column("v")
+            ok = pc.and_(ids.is_valid(), column.is_valid())
+            ids, column = ids.filter(ok), column.filter(ok)
+            size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+            flat = column.flatten().cast(pa.float64())
+            x = np.floor(scale * pc.fill_null(flat, np.nan).to_numpy()) if len(flat) else np.zeros(0)
+            bad = np.bincount(np.repeat(np.arange(len(size)), size), ~np.isfinite(x), len(size)) > 0 if len(size) else np.zeros(0, bool)
+            x = x[~np.repeat(bad, size)]
+            if len(x) and np.abs(x).max() >= 2**53:
+                raise OverflowError("components are too large for exact scores")
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[~bad])]), pa.int32()), pa.array(x.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(~bad)), lists], ["id", "v"])
 
     return run
 
@@ -50,7 +63,7 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0))
 
 
-def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, pivots: int = PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, pivots: int | None = None, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query its k best other vectors by the integer inner product of floor(scale * component).
 
     Returns query_id, rank (from 1), id, score; equal scores go to the smaller id; fewer than k candidates give
@@ -60,6 +73,8 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
 
     The driver holds the pivots and, for each cell, k + 1 vectors. A query's scores are exact, so pruning never
     drops a result; vectors that no bound prunes cost a comparison with every query, as in any exact search.
+    Queries are grouped by their own nearest pivot too, and a cell's vectors go only to those groups that have a query
+    whose bound reaches into the cell. pivots: as default a quarter of the root of the number of vectors.
     """
     ws = Workspace(vectors.sparkSession, "knn")
 
@@ -74,6 +89,7 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     if not dim or not most[1]:
         return vectors.sparkSession.createDataFrame([], names)
     dim = max(dim, most[0] or 0)
+    pivots = pivots or int(min(MOST, max(FEWEST, data.count() ** 0.5 / 4)))
     p = _matrix([r["v"] for r in data.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()], dim)
     p = np.unique(p, axis=0)
 
@@ -90,7 +106,9 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     numbers = np.array(sorted(size))
     radius = np.array([size[c][1] for c in numbers])
     parts = np.array([-(-size[c][0] // block) for c in numbers])
-    asks = max(1, -(-most[1] // block))
+    # queries in groups by their own cell, large groups in blocks
+    asked = ws.keep(asked.mapInArrow(assign, "id long, v array<bigint>, cell int, d double").withColumnRenamed("cell", "own"), "asked")
+    blocks = {r["own"]: -(-r["n"] // block) for r in asked.groupBy("own").agg(F.count("*").alias("n")).collect()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,12 +125,13 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
             row, cell = np.repeat(row, each), np.repeat(cell, each)
             part = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), pa.array(numbers[cell], pa.int32()), pa.array(part, pa.int32())], ["id", "v", "cell", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), b.column("own").take(take), pa.array(numbers[cell], pa.int32()), pa.array(part, pa.int32())], ["id", "v", "own", "cell", "part"])
 
-    ask = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asks)).cast("int")
-    sent = asked.mapInArrow(route, "id long, v array<bigint>, cell int, part int").withColumn("ask", ask)
-    each = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(numbers, parts) for x in pair]), F.col("cell"))
-    held = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id", F.lit(2)), each).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    of = lambda found, c: F.element_at(F.create_map(*[F.lit(int(x)) for pair in found for x in pair]), F.col(c))
+    ask = F.col("own").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(1)), of(blocks.items(), "own"))
+    sent = ws.keep(asked.mapInArrow(route, "id long, v array<bigint>, own int, cell int, part int").withColumn("ask", ask).drop("own"), "sent")
+    pairs = ws.keep(sent.select("cell", "ask").distinct(), "pairs")
+    held = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id", F.lit(2)), of(zip(numbers, parts), "cell")).cast("int").alias("part")).join(hinted(pairs), "cell")
 
     def solve(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
