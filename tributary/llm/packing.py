@@ -131,7 +131,7 @@ def _pack(path: str, length: int, batch: int, end_id: int, names: list[str]):
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", encoders=True):
             for doc_id, (ids, ends, stops) in zip(b.column("id").to_pylist(), coder.encode_column(b.column("text"))):
                 packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"), ends, stops)
             if packer.rows:

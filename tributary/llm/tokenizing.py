@@ -166,6 +166,18 @@ class ChunkEncoder:
             out.append((ids[last[i] : last[j]], last[i + 1 : j + 1] - last[i], stop[i:j]))
         return out
 
+    def count_column(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text of a column has, null being empty."""
+        data, at = raw(column)
+        if not self.fine:
+            return np.array([self.count(t or "") for t in column.to_pylist()], np.int64)
+        starts, ends, first = words(data, at)
+        _, where, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        view = data.tobytes()
+        numbers = self.numbers([view[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist())])
+        total = np.concatenate([[0], np.cumsum(self.size[numbers][which], dtype=np.int64)])
+        return total[first[1:]] - total[first[:-1]]
+
     def count(self, text: str) -> int:
         numbers = self.numbers(self.split(text))
         return int(self.size[numbers].sum())
