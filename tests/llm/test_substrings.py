@@ -68,3 +68,13 @@ def test_ids_with_different_texts_take_nothing(spark):
 
 def test_empty(empty):
     assert remove_repeats(empty).collect() == []
+
+
+def test_large_ids_beside_a_null_one(spark):
+    """Ids near 2**60 stay what they are in a batch with a null id."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefg ") for _ in range(400))
+    rows = [((1 << 60) + i, passage[rnd.randrange(50) : rnd.randrange(200, 400)] + str(i) * 20) for i in range(30)]
+    got = remove_repeats(spark.createDataFrame([*rows, (None, passage)], "doc_id long, text string").coalesce(1)).collect()
+    want = brute({i: t.encode() for i, t in rows}, 50)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == want

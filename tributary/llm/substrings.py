@@ -102,6 +102,11 @@ def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> list[n
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(found, kinds)]
 
 
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    """The batch's ids, 0 for null ones, as whole numbers throughout: a null would make them floats of 53 bits."""
+    return pc.fill_null(b.column("id"), 0).to_numpy()
+
+
 def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Spans by the range of their anchor. Of equal spans in a slice only the smallest document's goes there.
 
@@ -112,7 +117,7 @@ def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int
         key, lo, hi, text = anchors(data, at, length, gram)
         if not len(key):
             continue
-        ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = _ids(b)
         number = np.arange(len(key)) - np.searchsorted(text, np.arange(len(at)))[text]
         item, docs = span_hashes(data, lo, hi + length - 1), ids[text]
         both = mix(key * GOLD + item)
@@ -282,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             if len(asked):
                 asked = np.sort(asked)
                 start, span = _each_window(lo, hi, asked)
-                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = _ids(b)
                 # by anchor, since equal windows have equal ones: so a document's windows stay together
                 p = _pack(key[span], [span_hashes(data, start, start + length), ids[text[span]], start - at[text[span]]], WINDOW, parts)
                 n = p.num_rows
