@@ -22,7 +22,8 @@ from .common import U, mix, raw, slices
 K = 64
 LEVELS = (2, 3)
 ROUNDS = 4
-ROWS_PER_RANGE, MOST_RANGES = 2000, 10_000
+#: Rows of a range: the fewest and the most that are aimed at; between them there are RANGES ranges.
+ROWS_PER_RANGE, MOST_ROWS, RANGES = 2000, 20_000, 10_000
 _LOWEST = np.array([8] + [(i & -i).bit_length() - 1 for i in range(1, 256)], np.uint8)
 _WEIGHT = mix(np.arange(77, 77 + 64, dtype=U)) | U(1)
 
@@ -198,10 +199,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     n = slim.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // ROWS_PER_RANGE)))
+    ranges = max(1, -(-n // min(MOST_ROWS, max(ROWS_PER_RANGE, n // RANGES))))
     splits = np.zeros(0, np.int64)
     if ranges > 1:
-        got = slim.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+        got = slim.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(4 * ranges, 20 * min(ranges, RANGES)))).first()[0]
         splits = np.unique(np.array(got or [], np.int64))
     last = len(splits)
     # the smallest id of each range: one row each

@@ -176,10 +176,10 @@ def is_held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int | None = FIT_ROWS, threshold: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Every whole text's quality: id, held_out, score (0 to 1) and predicted (1 from the threshold on).
 
-    The model is fitted on labelled rows that are not held out, on `fit_rows` of them at most, picked by a hash
+    The model is fitted on labelled rows that are not held out, on `fit_rows` of them at most (None: all), picked by a hash
     of the id; that bound is what the driver holds. Only statistics of the text are inputs. Null and empty texts
     have statistics of 0 and a score like others; null ids are never held out and have no label; rows with one
     id are scored each, and learned from as one if their statistics agree. Null labels and labels of documents
@@ -189,8 +189,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     stats = ws.keep(slim.mapInArrow(_measure, "id long, " + ", ".join(f"{f} double" for f in FEATURES)), "statistics")
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("y in (0, 1) and id is not null").where(~is_held_out(F.col("id")))
-    sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows) if fit_rows else known
-    rows = sample.join(stats, "id").dropDuplicates().orderBy("id", "y", *FEATURES).limit(2 * fit_rows).select("y", *FEATURES).toPandas()
+    sample = known if fit_rows is None else known.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
+    rows = sample.join(stats, "id").dropDuplicates().orderBy("id", "y", *FEATURES)
+    rows = (rows if fit_rows is None else rows.limit(2 * fit_rows)).select("y", *FEATURES).toPandas()
     model = fit(rows[FEATURES].to_numpy(float), rows["y"].to_numpy(float))
     out = stats.select(F.col("id").alias(id_col), is_held_out(F.col("id")).alias("held_out"), F.least(F.greatest(model.column(), F.lit(0.0)), F.lit(1.0)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
