@@ -6,6 +6,10 @@ how many rows Spark puts in a batch; one text longer than that is a slice of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +40,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
             root = _local_root()
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/tributary-{name}-{uuid.uuid4().hex[:12]}", 0
 
@@ -61,7 +68,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 #: The largest table that is broadcast, by bytes; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def hinted(df: DataFrame) -> DataFrame:
@@ -121,8 +128,27 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in the same order, in record batches of at most `limit` bytes of text (or one row)."""
+def trim_memory() -> None:
+    """Gives back to the system what this worker has freed, which its allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def release_encoders() -> None:
+    """Frees what a reused worker still holds of the tokenizers of an earlier job."""
+    if sys.__dict__.pop("_tributary_encoders", None):
+        gc.collect()
+        trim_memory()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, encoders: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in the same order, in record batches of at most `limit` bytes of text (or one row).
+
+    encoders: the caller uses a tokenizer; else workers forget theirs.
+    """
+    if not encoders:
+        release_encoders()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -133,6 +159,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, min(j, n) - i)
             i = j
+        del at
+    trim_memory()
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
