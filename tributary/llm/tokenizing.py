@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import raw, span_hashes, words
+from .common import LOWER, raw, span_hashes, words
 
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile(r"[ \t\n\r\x0b\x0c\x85\xa0  -     　]+")
@@ -36,6 +36,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TAIL = ".,;:!?"
 LETTERS = "a-z\xe0-\xf6\xf8-\xff"
 WORD, LATIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)"), re.compile(f"[{LETTERS}]+")
+_TAIL, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[list(TAIL.encode())], _LETTER[97:123] = True, True
 #: Byte-level models write a byte as the character of its number if that is printable, else as the next one from 256 on.
 _SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 LEVEL = {b: chr(b if b in _SEEN else 256 + sum(x not in _SEEN for x in range(b))) for b in range(256)}
@@ -87,25 +89,22 @@ class ChunkEncoder:
         return (chunk.lower() if chunk.isascii() else chunk,)
 
     def learn(self, chunks: list[str]) -> None:
-        # most chunks are a word of Latin letters and perhaps punctuation: two parts, without further looks
-        match = WORD.fullmatch if self.fine else lambda c: None
-        pairs = [m.groups() if (m := match(c.lower())) else self.parts(c) for c in chunks]
-        known = self.part
-        new = list(dict.fromkeys(x for x in chain.from_iterable(pairs) if x not in known))
-        if known and len(known) + len(new) > self.kept:
-            known.clear()
-            new = list(dict.fromkeys(chain.from_iterable(pairs)))
-        known[""] = ()
         # a word of small Latin letters is one piece as it stands, so the model alone gives its ids
-        tokens, rest = self.tokenizer.model.tokenize, []
-        for x in new:
-            if self.fine and LATIN.fullmatch(x):
-                known[x] = tuple([t.id for t in tokens(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(LEVEL))])
-            elif x:
-                rest.append(x)
-        for part, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[part] = tuple(code.ids)
-        lists = [known[p[0]] + known[p[1]] if len(p) == 2 else tuple(chain.from_iterable(map(known.__getitem__, p))) for p in pairs]
+        tokens, simple = self.tokenizer.model.tokenize, LATIN.fullmatch if self.fine else lambda c: None
+        lists = [tuple([t.id for t in tokens(c if c.isascii() else c.encode("utf-8").decode("latin-1").translate(LEVEL))]) if simple(c) else None for c in chunks]
+        rest = [i for i, x in enumerate(lists) if x is None]
+        if rest:
+            known = self.part
+            pairs = [m.groups() if self.fine and (m := WORD.fullmatch(chunks[i].lower())) else self.parts(chunks[i]) for i in rest]
+            new = list(dict.fromkeys(x for x in chain.from_iterable(pairs) if x not in known))
+            if known and len(known) + len(new) > self.kept // 4:
+                known.clear()
+                new = list(dict.fromkeys(chain.from_iterable(pairs)))
+            known[""] = ()
+            for part, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[part] = tuple(code.ids)
+            for i, p in zip(rest, pairs):
+                lists[i] = tuple(chain.from_iterable(map(known.__getitem__, p)))
         size = np.fromiter(map(len, lists), np.int32, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
         while self.used + len(ids) > len(self.pool):
@@ -145,37 +144,61 @@ class ChunkEncoder:
         numbers = self.numbers(self.split(text))
         return self.gather(numbers), np.cumsum(self.size[numbers], dtype=np.int64), self.stop[numbers]
 
-    def encode_column(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """encode() of each text of a column, null being empty.
+    def _pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts of a column, the first piece of each text, and which pieces end a chunk.
 
-        Chunks between ASCII white space are told apart by a 64-bit hash, so only the column's distinct ones are
-        looked up; ends and stops are those of these chunks.
+        Pieces are the chunks between ASCII white space; those of ASCII only have A-Z lower-cased and punctuation behind
+        a letter taken off, as the tokenizer does itself. (It composes accents before it lower-cases.) They are told apart by a 64-bit hash, so that only the
+        column's distinct ones are looked up.
         """
         data, at = raw(column)
-        if not self.fine:
-            return [self.encode(t or "") for t in column.to_pylist()]
         starts, ends, first = words(data, at)
-        _, where, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        high = np.concatenate([[0], np.cumsum(data >= 128)])
+        high = high[ends] > high[starts]
+        as_is = np.zeros(len(data) + 1, np.int8)
+        as_is[starts[high]] += 1
+        as_is[ends[high]] -= 1
+        data = np.where(np.cumsum(as_is[:-1], dtype=np.int8) > 0, data, LOWER[data])
+        core = ends.copy()
+        more = np.flatnonzero(_TAIL[data[core - 1]]) if len(core) else core
+        while len(more):
+            core[more] -= 1
+            more = more[core[more] > starts[more]]
+            more = more[_TAIL[data[core[more] - 1]]]
+        two = (core > starts) & (core < ends)
+        two &= _LETTER[data[np.maximum(core - 1, 0)]] & ~high
+        core[~two] = ends[~two]
+        at_ = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(two)[:-1]]) if len(starts) else np.zeros(0, np.int64)
+        n = len(starts) + int(two.sum())
+        begin, stop, last = np.empty(n, np.int64), np.empty(n, np.int64), np.ones(n, bool)
+        begin[at_], stop[at_], last[at_] = starts, core, ~two
+        begin[at_[two] + 1], stop[at_[two] + 1] = core[two], ends[two]
+        _, where, which = np.unique(span_hashes(data, begin, stop), return_index=True, return_inverse=True)
         view = data.tobytes()
-        chunks = [view[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist())]
-        numbers = self.numbers(chunks)[which]
-        ids, size, stop = self.gather(numbers), self.size[numbers].astype(np.int64), self.stop[numbers]
-        last = np.concatenate([[0], np.cumsum(size)])
+        found = self.numbers([view[i:j].decode("utf-8") for i, j in zip(begin[where].tolist(), stop[where].tolist())])
+        return found[which], np.append(at_, n)[first], last
+
+    def encode_column(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text of a column, null being empty; ends and stops are those of chunks between ASCII white space."""
+        if not self.fine:
+            return [self.encode(t or "") for t in column.to_pylist()]
+        numbers, first, last = self._pieces(column)
+        ids = self.gather(numbers)
+        end = np.concatenate([[0], np.cumsum(self.size[numbers], dtype=np.int64)])
+        chunk = np.flatnonzero(last)
+        ends, stops = end[chunk + 1], self.stop[numbers[chunk]]
+        of = np.searchsorted(chunk, first)
         out = []
-        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-            out.append((ids[last[i] : last[j]], last[i + 1 : j + 1] - last[i], stop[i:j]))
+        for i, j, a, b in zip(end[first[:-1]].tolist(), end[first[1:]].tolist(), of[:-1].tolist(), of[1:].tolist()):
+            out.append((ids[i:j], ends[a:b] - i, stops[a:b]))
         return out
 
     def count_column(self, column: pa.Array) -> np.ndarray:
         """How many ids each text of a column has, null being empty."""
-        data, at = raw(column)
         if not self.fine:
             return np.array([self.count(t or "") for t in column.to_pylist()], np.int64)
-        starts, ends, first = words(data, at)
-        _, where, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        view = data.tobytes()
-        numbers = self.numbers([view[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist())])
-        total = np.concatenate([[0], np.cumsum(self.size[numbers][which], dtype=np.int64)])
+        numbers, first, _ = self._pieces(column)
+        total = np.concatenate([[0], np.cumsum(self.size[numbers], dtype=np.int64)])
         return total[first[1:]] - total[first[:-1]]
 
     def count(self, text: str) -> int:
