@@ -84,3 +84,62 @@ def test_alone_or_together():
     docs = [text(rnd, n).encode() for n in (0, 1, 2, 3, 7, 50, 51, 999)] + [b"aaaaaaaa", b"abababab", b"aab" * 50, "é漢😀".encode() * 20]
     together = fingerprints(docs)[0]
     assert together == [fingerprints([d])[0][0] for d in docs]
+
+
+# the parse once more, text by text and in whole numbers
+
+ALL = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ALL
+    return x ^ (x >> 31)
+
+
+def tossed(symbols, first):
+    """A round of coin tossing: the lowest place in which a symbol differs from the one before, and its bit there."""
+    out = []
+    for i, x in enumerate(symbols):
+        d = x ^ (symbols[i - 1] if i else 0)
+        place = (d & -d).bit_length() - 1 if d else (63 if first else 8)
+        out.append(place << 1 | (x >> (place if first else place & 7)) & 1)
+    return out
+
+
+def phrases(symbols, level):
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    label = [x for x, _ in runs]
+    for r in range(4):
+        label = tossed(label, level > 1 and r == 0)
+    values = [mixed((x + n * 0x9E3779B97F4A7C15) & ALL) for x, n in runs]
+    n = len(runs)
+    begin = [i == 0 or (i < n - 1 and label[i] > label[i - 1] and label[i] >= label[i + 1]) for i in range(n)]
+    starts = [i for i in range(n) if begin[i]]
+    weights = [mixed(77 + i) | 1 for i in range(64)]
+    return [mixed((sum(values[j] * weights[(j - a) & 63] for j in range(a, b)) + b - a) & ALL) for a, b in zip(starts, [*starts[1:], n])]
+
+
+def by_hand(data):
+    symbols, level, root, names = list(data), 0, 0, set()
+    if not symbols:
+        return "0" * 16
+    while not root or level < 3:
+        symbols = phrases(symbols, level + 1)
+        level += 1
+        if level in (2, 3):
+            names |= {mixed((x + level) & ALL) >> 32 for x in symbols}
+        if len(symbols) == 1 and not root:
+            root = mixed((symbols[0] + level) & ALL)
+    return f"{root:016x}" + "".join(f"{x:08x}" for x in sorted(names)[:64])
+
+
+def test_against_a_parse_by_hand():
+    rnd = random.Random(8)
+    texts = [b"", b"a", b"ab", b"aaaa", b"abababab", "é漢😀".encode() * 7, b" " * 300] + [bytes(rnd.choice(b"abcdefgh \n") for _ in range(rnd.randrange(1, 900))) for _ in range(60)]
+    assert fingerprints(texts)[0] == [by_hand(t) for t in texts]

@@ -51,3 +51,19 @@ def test_one_value_everywhere(spark):
     """All vectors equal: every cell but one is empty, and ties go to the smaller id."""
     got = ask(spark, [(i, [0.5] * 4) for i in range(120)], block=16)
     assert got[50] == [(i, 4 * 128 * 128) for i in range(5)] and got[0] == [(i, 4 * 128 * 128) for i in range(1, 6)]
+
+
+def test_only_needed_vectors_are_copied(spark, monkeypatch):
+    """A cell goes to the groups of queries that may find a result in it, once each; clusters far apart stay by themselves."""
+    from tributary.llm import knn
+
+    rnd = random.Random(7)
+    rows = [(i, [20.0 * (j == i % 8) + rnd.gauss(0, 0.1) for j in range(8)]) for i in range(1600)]
+    kept = {}
+    keep = knn.Workspace.keep
+    monkeypatch.setattr(knn.Workspace, "keep", lambda self, df, name="t": kept.setdefault(name, keep(self, df, name)))
+    assert ask(spark, rows, pivots=64, block=100) == brute(rows)
+    cells, pairs = kept["cells"].count(), kept["pairs"]
+    copies = kept["cells"].join(pairs, "cell").count()
+    asks = kept["sent"].select("ask").distinct().count()
+    assert copies < 0.5 * asks * cells

@@ -1,7 +1,11 @@
 """The rule ensemble: what it learns, and that the compiled column is the model."""
 
+import math
 import os
+import random
 import zlib
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +87,29 @@ def test_column_is_the_model(spark, odd):
     assert [got[i] for i in ids] == pytest.approx(model.score(x).tolist())
     kept = without_rejected(df, labels)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s >= 0.7}
+
+
+def test_statistics_by_hand():
+    """Each statistic counted anew from the bytes of a text."""
+    rnd = random.Random(6)
+    texts = ["", "   ", "One", "!!! A|B 12,5 é\n漢字 same same same", *["".join(rnd.choice("abC 1!|#é\n.") for _ in range(rnd.randrange(400))) for _ in range(40)]]
+    got = statistics(*raw(pa.array(texts, pa.large_string())))
+    for t, row in zip(texts, got):
+        b = t.encode()
+        words = b.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ")
+        words = [w for w in words if w]
+        n, solid = max(len(words), 1), sum(map(len, words))
+        letters = sum(chr(c).isalpha() for c in b if c < 128)
+        runs = [len(list(g)) for _, g in groupby(words)]
+        count = lambda chars: sum(c in chars for c in b)
+        want = [math.log1p(len(words)), solid / n, count(b"#$%&*@^~<>{}[]\\_=+`") / n, count(b"!") / n, count(bytes(range(65, 91))) / max(letters, 1), count(b"|") / n, count(b"0123456789") / n, count(b".,;:?") / n, sum(c > 127 for c in b) / max(solid, 1), count(b"\n") / n]
+        want += [1 - len(runs) / len(words), max(runs), len(set(words)) / len(words), max(Counter(words).values()) / len(words)] if words else [0] * 4
+        assert row.tolist() == pytest.approx(want), t
+
+
+def test_all_labels(spark):
+    """Without a bound all labelled rows are learned from."""
+    docs = spark.createDataFrame([(i, "good words here " * (i % 5 + 1) if i % 2 else "### !!! ### " * (i % 4 + 1)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    out = score_quality(docs, labels, fit_rows=None).collect()
+    assert len(out) == 200 and all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in out)
