@@ -7,9 +7,8 @@ which keep them. Order of arrival, where it matters (keyed ties, buckets), is th
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import sketches as S
@@ -298,25 +297,24 @@ def _checked(p: float | list[float]) -> list[float]:
     return [float(q) for q in ps]
 
 
-@dataclass(frozen=True)
-class QuantileAgg(CellAgg):
-    """Exact quantiles: values and their counts, found by running sums over the sorted values of a group."""
+def _quantiles(cells: Column, ps: list[float]) -> Column:
+    """An array of interpolated quantiles of values (k) and their counts (v): one pass over the sorted values finds all ranks."""
+    n = F.aggregate(cells, F.lit(0).cast("long"), lambda a, e: a + e["v"])
+    none = F.lit(None).cast("double")
+    ranks = F.array(*[((n - 1) * F.lit(p)).cast("double") for p in ps])
+    fields = [(f"at{i}", F.floor, f"lo{i}") for i in range(len(ps))] + [(f"at{i}", F.ceil, f"hi{i}") for i in range(len(ps))]
+    # ranks are in the state, so that they are computed once and not for each value
+    start = lambda r: F.struct(F.lit(0).cast("long").alias("end"), *[r[i].alias(f"at{i}") for i in range(len(ps))], *[none.alias(f) for _, _, f in fields])
 
-    ps: tuple[float, ...] = ()
+    def step(a: Column, e: Column) -> Column:
+        end = a["end"] + e["v"]
+        found = [F.when(a[f].isNull() & (end > whole(a[at])), e["k"]).otherwise(a[f]).alias(f) for at, whole, f in fields]
+        return F.struct(end.alias("end"), *[a[f"at{i}"].alias(f"at{i}") for i in range(len(ps))], *found)
 
-    def finish_frame(self, df: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        cells = df.select(*keys, F.explode(self.columns(alias)[0]).alias("_e")).select(*keys, F.col("_e.k").alias("_k"), F.col("_e.v").alias("_v"))
-        by = Window.partitionBy(*keys)
-        run = cells.withColumn("_end", F.sum("_v").over(by.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_v").over(by))
+    def result(a: Column) -> Column:
+        return F.array(*[a[f"lo{i}"] + (a[f"hi{i}"] - a[f"lo{i}"]) * (a[f"at{i}"] - F.floor(a[f"at{i}"])) for i in range(len(ps))])
 
-        def value(rank: Column) -> Column:
-            return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_v") <= rank), F.col("_k")))
-
-        at = [(F.col("_n") - 1) * F.lit(q) for q in self.ps]
-        parts = [c for i, a in enumerate(at) for c in (value(F.floor(a)).alias(f"_l{i}"), value(F.ceil(a)).alias(f"_h{i}"), F.max(a - F.floor(a)).alias(f"_f{i}"))]
-        out = run.groupBy(*keys).agg(*parts)
-        each = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(self.ps))]
-        return out.select(*keys, self.final(*each).alias(alias))
+    return F.aggregate(F.array_sort(cells), start(ranks), step, result)
 
 
 def percentile_cont(p: float | list[float], x, exact: bool = False, k: int = 4000) -> Agg:
@@ -329,7 +327,7 @@ def percentile_cont(p: float | list[float], x, exact: bool = False, k: int = 400
     shape = (lambda *cols: F.array(*cols)) if isinstance(p, (list, tuple)) else (lambda *cols: cols[0])
     c = expr(x).cast("double")
     if exact:
-        return QuantileAgg("percentile_cont", final=shape, ps=tuple(ps), cells=F.when(c.isNotNull(), F.array(F.struct(c.alias("k"), F.lit(1).cast("long").alias("v")))))
+        return CellAgg("percentile_cont", final=lambda cells: F.when(F.size(cells) > 0, _quantiles(cells, ps) if isinstance(p, (list, tuple)) else _quantiles(cells, ps)[0]), cells=F.when(c.isNotNull(), F.array(F.struct(c.alias("k"), F.lit(1).cast("long").alias("v")))))
     base = dist_agg(x, k)
     return Agg("percentile_cont", base.parts, lambda *s: F.when(s[3] > 0, shape(*[S.dist_quantile(base.final(*s), q) for q in ps])))
 
