@@ -6,6 +6,7 @@ how many rows Spark puts in a batch; one text longer than that is a slice of its
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -32,7 +33,7 @@ LOWER[65:91] += 32
 
 
 class Workspace:
-    """A folder for intermediate tables inside spark.checkpoint.dir, which every executor sees.
+    """A folder for intermediate tables inside spark.checkpoint.dir, which every executor sees; it goes when Python ends.
 
     Only where that setting is missing (tests, one machine) a temporary folder stands in.
     """
@@ -45,6 +46,12 @@ class Workspace:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
             root = _local_root()
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/tributary-{name}-{uuid.uuid4().hex[:12]}", 0
+        _MADE.append(self)
+
+    def remove(self) -> None:
+        """Deletes the folder; DataFrames that read its tables can't be used after that."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df as Parquet and returns the written table: lineage ends there and lost executors cost nothing."""
@@ -54,6 +61,27 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+#: Workspaces that have not been removed.
+_MADE: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the workspaces that are made inside, at the end: for work whose result has been written by then."""
+    before = len(_MADE)
+    yield
+    for ws in _MADE[before:]:
+        ws.remove()
+    del _MADE[before:]
+
+
+@atexit.register
+def _remove_all() -> None:
+    for ws in _MADE:
+        with contextlib.suppress(Exception):
+            ws.remove()
+
+
 _ROOT: list[str] = []
 
 
