@@ -140,13 +140,14 @@ def _group_pairs(rows: pa.Table, names: list[str], alike: Alike) -> Iterator[pa.
         i = j
 
 
-def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: DataFrame, alike: Alike, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: DataFrame, alike: Alike, rounds: int = ROUNDS, meetings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the ids that share a bucket and pass `verify`.
 
     members: (bucket, id, base, n, more...), each (bucket, id) once, n the bucket's number of members, written already.
     Two ids of a bucket are a candidate pair if one of them is marked base. verify: pairs (a, b) to those that are
     linked. payload: one row for each id, of numbers. alike: a test that a linked pair passes in one of its buckets at
-    least, on whole columns of members with their payload.
+    least, on whole columns of members with their payload. meetings: coarser and fewer buckets (bucket, id, base, n) of
+    the same ids, in which the rounds look for hubs; as default the members.
 
     In each round every bucket names one base id its hub (at first one that shares most buckets with others) and
     every id is tried against the hub that it meets in most buckets, one pair for each id. So large groups
@@ -154,7 +155,7 @@ def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFra
     pairs of a bucket, those between two components, are compared by `alike`, large buckets in pairs of blocks,
     and tested in full if they pass, so no link is lost. Returns (id, comp) of linked ids and the tested links (a, b).
     """
-    slim = members.select("bucket", "id", "base", "n")
+    slim = (members if meetings is None else meetings).select("bucket", "id", "base", "n")
     comp = links = None
     for r in range(rounds):
         if comp is None:
@@ -171,7 +172,7 @@ def link_by_buckets(ws: Workspace, members: DataFrame, verify: Callable[[DataFra
         found = ws.keep(verify(best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()), "links")
         links = found if links is None else links.unionByName(found)
         comp = connected_components(ws, found if comp is None else _with(comp, found))
-    named = slim.join(comp, "id", "left").select("bucket", F.coalesce("comp", "id").alias("comp"), "id")
+    named = members.select("bucket", "id").join(comp, "id", "left").select("bucket", F.coalesce("comp", "id").alias("comp"), "id")
     open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("bucket", "blocks")
     about = payload.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rest = members.drop("n").join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))

@@ -113,8 +113,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Documents of one set are one class from the start, so copies are never paired. Classes meet by half keys:
     only half keys that two classes share are paired to table keys, and of half keys (and table keys) that the
-    same classes share only the first. `link_by_buckets` then tests candidates on full sets, joined as arrays
-    of 64-bit shingle hashes.
+    same classes share only the first. `link_by_buckets` then looks for hubs by half keys and tests candidates on full
+    sets, joined as arrays of 64-bit shingle hashes.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -128,9 +128,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = ws.keep(some.groupBy("same").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "classes")
     # a half key that only one class has leads to no pair, and of those that the same classes have one will do
     half = least.select("id", F.posexplode("halves").alias("i", "h")).withColumn("first", F.col("i") < M)
-    shared = distinct_buckets(ws, half, ["first", "i", "h"], apart=["first"]).select("i", "h")
+    shared = distinct_buckets(ws, half, ["first", "i", "h"], apart=["first"]).select("i", "h", "n")
+    half = ws.keep(half.join(shared, ["i", "h"]).select("id", "i", "h", "first", "n"), "halves")
     mine = lambda c: F.collect_list(F.when(c, F.struct("i", F.xxhash64("i", "h").alias("h"))))
-    left = half.join(shared, ["i", "h"], "left_semi").groupBy("id").agg(mine(F.col("first")).alias("p"), mine(~F.col("first")).alias("q")).where("size(p) > 0 and size(q) > 0")
+    left = half.groupBy("id").agg(mine(F.col("first")).alias("p"), mine(~F.col("first")).alias("q")).where("size(p) > 0 and size(q) > 0")
     keys = left.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select(F.xxhash64("p.h", "q.h").alias("bucket"), "id", F.col("p.i").cast("byte").alias("i"), F.col("q.i").cast("byte").alias("j"))
     keys = ws.keep(keys, "keys")
     tables = distinct_buckets(ws, keys, ["i", "j", "bucket"])
@@ -140,6 +141,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     payload = least.select("id", F.col("n").alias("size"), *[F.col("sketch")[j].alias(f"p{j}") for j in range(words)], *[F.col("sketch")[words + j].alias(f"s{j}") for j in range(lanes)], *[two(j).alias(f"h{j}") for j in range(M)])
 
     wanted = ws.keep(members.select("id").distinct(), "wanted")
+    meetings = half.join(hinted(wanted), "id", "left_semi").select(F.xxhash64("i", "h").alias("bucket"), "id", F.lit(True).alias("base"), "n")
     sets = ws.keep(slim.join(hinted(wanted), "id", "left_semi").mapInArrow(_sets(k), "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return two.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t")).where(f"100 * i >= {percent} * (t - i)").select("a", "b")
 
-    comp, _ = link_by_buckets(ws, members, verify, payload, _alike(percent))
+    comp, _ = link_by_buckets(ws, members, verify, payload, _alike(percent), meetings=ws.keep(meetings, "meetings"))
 
     named = least.select("same", "id").join(comp, "id", "left").select("same", F.coalesce("comp", "id").alias("component"))
     named = ws.keep(named, "named")
