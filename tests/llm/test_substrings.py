@@ -1,10 +1,13 @@
 """Repeated byte strings against a table of all strings."""
 
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm.substrings import remove_repeats
 
@@ -78,3 +81,56 @@ def test_large_ids_beside_a_null_one(spark):
     got = remove_repeats(spark.createDataFrame([*rows, (None, passage)], "doc_id long, text string").coalesce(1)).collect()
     want = brute({i: t.encode() for i, t in rows}, 50)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == want
+
+
+def test_asked_windows_are_few_and_small(spark, monkeypatch):
+    """Phrases that many texts have by chance ask for hardly any windows; edges of passages travel as bytes, not as hashes of each window."""
+    import tributary.llm.common as m
+
+    keep, tables = m.Workspace.keep, {}
+
+    def spy(self, df, name="t"):
+        tables[name] = keep(self, df, name)
+        return tables[name]
+
+    def asked(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert result(df) == brute({i: t.encode() for i, t in rows}, 50)
+        sent = tables["first"].where("part is not null")
+        sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in sent.dtypes if kind == "binary"]
+        return sent.agg(F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0))).first()[0]
+
+    monkeypatch.setattr(m.Workspace, "keep", spy)
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [noise(24) for _ in range(5)]
+    rows = [(i, "".join(noise(30) + rnd.choice(phrases) for _ in range(20)) + noise(30)) for i in range(80)]
+    assert asked(rows) < 0.05 * sum(len(t) for _, t in rows)  # sides' 16 bits agree by chance
+    passage = noise(3000)
+    rows = [(i, "".join(noise(40) + passage[(a := rnd.randrange(2900)) : a + 100] for _ in range(15))) for i in range(80)]
+    assert 0 < asked(rows) < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """Shuffles of a table go when it is written, and the session's setting stays what it was."""
+    import tributary.llm.common as m
+
+    key, seen = m.CLEANUP, []
+    was = spark.conf.get(key, None)
+    keep = m.Workspace.keep
+
+    def spy(self, df, name="t"):
+        out = keep(self, df, name)
+        seen.append((self.tidy, spark.conf.get(key, None)))
+        return out
+
+    monkeypatch.setattr(m.Workspace, "keep", spy)
+    local = os.path.join(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: {f for _, _, fs in os.walk(local) for f in fs if f.startswith("shuffle_")}
+    before, ws = files(), m.Workspace(spark, "tidy", tidy=True)
+    ws.keep(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):  # they are deleted beside the query
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and seen == [(True, was)]

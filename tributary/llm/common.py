@@ -35,10 +35,11 @@ LOWER[65:91] += 32
 class Workspace:
     """A folder for intermediate tables inside spark.checkpoint.dir, which every executor sees; it goes when Python ends.
 
-    Only where that setting is missing (tests, one machine) a temporary folder stands in.
+    Only where that setting is missing (tests, one machine) a temporary folder stands in. tidy: shuffles of a kept
+    table are removed as soon as it is written, not when the driver happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             master = spark.sparkContext.master
@@ -46,6 +47,7 @@ class Workspace:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
             root = _local_root()
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/tributary-{name}-{uuid.uuid4().hex[:12]}", 0
+        self.tidy = tidy
         _MADE.append(self)
 
     def remove(self) -> None:
@@ -57,10 +59,25 @@ class Workspace:
         """Writes df as Parquet and returns the written table: lineage ends there and lost executors cost nothing."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        with _tidied(self.spark) if self.tidy else contextlib.nullcontext():
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 #: Workspaces that have not been removed.
 _MADE: list[Workspace] = []
 

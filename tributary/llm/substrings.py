@@ -7,8 +7,9 @@ anchor's hash and grouped by 64-bit hashes of their bytes, which are not verifie
 
 1. Consecutive windows of one anchor form a span. If the same span begins in an earlier document, all its windows
    repeat. If no earlier document has the anchor, none does.
-2. Else (the edges of repeated passages) the windows are compared one by one, again partitioned by their anchors
-   and sorted by hash, against those of every span with that anchor.
+2. Else (the edges of repeated passages) the windows are compared one by one, if the bytes left or right of the
+   anchor are alike too: half of what a window has beside its anchor lies on one side of it. The bytes of such spans
+   are partitioned by their anchors again, and their windows sorted by hash.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ SLICE, PART_BYTES = 2 << 20, 12 << 20
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
-    """For each span: its anchor's hash, its first window's start, the start after its last window, its text."""
+    """For each span: its anchor's hash, its first window's start, the start after its last window, its text, its anchor's start."""
     n, w = len(data), length - gram + 1
     z = np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, U), z, z, z
+        return np.zeros(0, U), z, z, z, z
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
     eight = np.ndarray(n + length, "<u8", padded.data, strides=(1,))
     h, step = eight[:n] * GOLD, 8
@@ -54,16 +55,33 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(m)]
     start = np.flatnonzero(np.arange(len(m)) + length <= at[1:][text])
     if not len(start):
-        return np.zeros(0, U), z, z, z
+        return np.zeros(0, U), z, z, z, z
     anchor, text = (m[start] & U(0xFFFFFFFF)).astype(np.int64), text[start]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     # least hashes are all small; mixed, they are spread over the ranges
-    return mix(h[anchor[new]]), start[new], start[np.append(new[1:], len(start)) - 1] + 1, text[new]
+    return mix(h[anchor[new]]), start[new], start[np.append(new[1:], len(start)) - 1] + 1, text[new], anchor[new]
 
 
-#: Columns of what is shuffled: an anchor's or window's hash (and its span's), the document and a number in it.
-SPAN = ("<u8", "<u8", "<i8", "<i4")
-WINDOW = ("<u8", "<i8", "<i4")
+def sides(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits of a hash of what lies left of each span's anchor, and right of it; 0 where no window of the span has it whole.
+
+    A window has `length` - `gram` bytes beside its anchor, so the half of that, rounded up, on one side at least. Two
+    spans of one anchor share no window unless they have that side alike.
+    """
+    half = (length - gram + 1) // 2
+    out = []
+    for there, begin in ((anchor - lo >= half, anchor - half), (hi - 1 + length - (anchor + gram) >= half, anchor + gram)):
+        side = np.zeros(len(lo), np.uint16)
+        begin = begin[there]
+        side[there] = span_hashes(data, begin, begin + half) % U(65535) + U(1)
+        out.append(side)
+    return out[0], out[1]
+
+
+#: Columns of what is shuffled: a span's hash, 16 bits of its anchor's and of each side's, the document and a number in it.
+SPAN = ("<u8", "<u2", "<u2", "<u2", "<i8", "<i4")
+#: Of a span whose windows are asked: the document, where the span starts in it, its windows. Its bytes come behind.
+ASKED = ("<i8", "<i4", "<u2")
 
 
 CODEC = "zstd"
@@ -71,20 +89,40 @@ CODEC = "zstd"
 
 def _blob(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
     """Whole columns one after the other, ids and numbers as differences, compressed behind their length."""
-    raw_ = b"".join((c if k == "<u8" else np.diff(c, prepend=c.dtype.type(0))).tobytes() for c, k in zip(columns, kinds))
-    return len(raw_).to_bytes(4, "little") + pa.Codec(CODEC).compress(raw_, asbytes=True)
+    return _squeezed(b"".join((c if k[1] == "u" else np.diff(c, prepend=c.dtype.type(0))).tobytes() for c, k in zip(columns, kinds)))
+
+
+def _squeezed(x: bytes) -> bytes:
+    return len(x).to_bytes(4, "little") + pa.Codec(CODEC).compress(x, asbytes=True)
+
+
+def _unsqueezed(x: bytes) -> bytes:
+    return pa.Codec(CODEC).decompress(memoryview(x)[4:], int.from_bytes(x[:4], "little"), asbytes=True)
+
 
+def _pack(by: np.ndarray, columns: list[np.ndarray], kinds: tuple[str, ...], parts: int, data: np.ndarray | None = None, begin: np.ndarray | None = None, size: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows as one binary value for each range of `by` that has any; rows keep their order within a range.
 
-def _pack(by: np.ndarray, columns: list[np.ndarray], kinds: tuple[str, ...], parts: int) -> pa.RecordBatch:
-    """Rows as one binary value for each range of `by` that has any; rows keep their order within a range."""
+    data, begin and size: bytes of each row, one row's after the other's; they are a column "bytes".
+    """
     part = ((by >> U(32)) * U(parts)) >> U(32)
     order = np.argsort(part, kind="stable")
     part = part[order]
-    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(begin[1:], len(part))
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(part))
     columns = [c[order].astype(k) for c, k in zip(columns, kinds)]
-    values = [_blob([c[b:e] for c in columns], kinds) for b, e in zip(begin.tolist(), ends.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"])
+    values = [_blob([c[b:e] for c in columns], kinds) for b, e in zip(at.tolist(), ends.tolist())]
+    out, names = [pa.array(part[at].astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"]
+    if data is not None:
+        begin, size = begin[order], size[order]
+        texts = [_squeezed(data[_runs(begin[b:e], size[b:e])].tobytes()) for b, e in zip(at.tolist(), ends.tolist())]
+        out, names = [*out, pa.array(texts, pa.binary())], [*names, "bytes"]
+    return pa.RecordBatch.from_arrays(out, names)
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for as many as size says, one run after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -93,12 +131,12 @@ def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> list[n
     found: list[list[np.ndarray]] = [[] for _ in kinds]
     for b in batches:
         for packed in b.column("rows").to_pylist():
-            x = pa.Codec(CODEC).decompress(memoryview(packed)[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
+            x = _unsqueezed(packed)
             n, at = len(x) // width, 0
             for k, out in zip(kinds, found):
                 c = np.frombuffer(x, k, n, at)
                 at += c.nbytes
-                out.append(c if k == "<u8" else np.cumsum(c, dtype=k))
+                out.append(c if k[1] == "u" else np.cumsum(c, dtype=k))
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(found, kinds)]
 
 
@@ -114,7 +152,7 @@ def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int
     """
     for b in slices(batches, "text", SLICE):
         data, at = raw(b.column("text"))
-        key, lo, hi, text = anchors(data, at, length, gram)
+        key, lo, hi, text, anchor = anchors(data, at, length, gram)
         if not len(key):
             continue
         ids = _ids(b)
@@ -123,7 +161,8 @@ def _offer(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int
         both = mix(key * GOLD + item)
         again = _least_of(both, docs, np.argsort(both, kind="stable")) < docs
         send = ~again
-        out = _pack(key[send], [key[send], item[send], docs[send], number[send]], SPAN, parts)
+        left, right = sides(data, lo[send], hi[send], anchor[send], length, gram)
+        out = _pack(key[send], [both[send], key[send], left, right, docs[send], number[send]], SPAN, parts)
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.zeros(out.num_rows, bool))], ["part", "rows", "known"])
         if again.any():
             where = int(both[again][0] % U(parts))
@@ -169,22 +208,32 @@ def _compare(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             docs, numbers = _unpack(iter([sure]), ("<i8", "<i4"))
             yield _to_docs(docs, numbers, 1, parts)
         asked.append(b.filter(pc.invert(b.column("known"))))
-    key, item, docs, numbers = _unpack(iter(asked), SPAN)
+    item, key, left, right, docs, numbers = _unpack(iter(asked), SPAN)
     if not len(key):
         return
-    item = mix(key * GOLD + item)
-    of_key = _least_of(key, docs, np.argsort(key, kind="stable"))
-    of_item = _least_of(item, docs, np.argsort(item, kind="stable"))
-    whole = of_item < docs
-    unsure = ~whole & (of_key < docs)
-    # the windows of an anchor are needed wherever one of its spans is unsure; a repeated span's first one will do
-    keys = np.unique(key[unsure])
-    there = np.searchsorted(keys, key)
-    asked = (len(keys) > 0) & (keys[np.minimum(there, max(len(keys) - 1, 0))] == key) if len(keys) else np.zeros(len(key), bool)
-    say = whole | (asked & ~whole)
+    whole = _least_of(item, docs, np.argsort(item, kind="stable")) < docs
+    # a repeated span's first one will do; its windows are needed wherever a span of a later document has a side of it
+    rest = np.flatnonzero(~whole)
+    ask = np.zeros(len(key), bool)
+    for side in (left, right):
+        here = rest[side[rest] > 0]
+        if len(here):
+            ask[here[_shared(key[here].astype(U) << U(16) | side[here], docs[here])]] = True
+    say = whole | ask
     yield _to_docs(docs[say], numbers[say], whole[say].astype(np.int64), parts)
 
 
+def _shared(key: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which rows have a key that several documents have."""
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], docs[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    several = np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(several, np.diff(np.append(begin, len(k))))
+    return out
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in slices(batches, "text", SLICE):
         yield b, [np.frombuffer(x or b"", "<u4") for x in b.column("spans").to_pylist()]
@@ -230,12 +279,6 @@ def _expand(pa_spans: list[np.ndarray], text: np.ndarray, n_texts: int):
     return np.concatenate(whole) if whole else z, np.concatenate(asked) if asked else z
 
 
-def _each_window(lo: np.ndarray, hi: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the spans' windows and the span of each."""
-    size = hi[spans] - lo[spans]
-    return np.repeat(lo[spans] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), np.repeat(spans, size)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of each text when every byte goes that lies in a string of `length` bytes which also starts in a
     document of a smaller id.
@@ -249,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     arrays that a range's task sorts.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "repeats")
+    ws = Workspace(spark, "repeats", tidy=True)
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     known = slim.where("id is not null")
     odd = conflicting_ids(ws, slim.select("id", F.xxhash64("text").alias("h")), "h")
@@ -272,44 +315,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     spans = gathered(spans, "spans")
     joined = slim.join(spans, "id", "left").select("id", "text", "spans")
 
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows"]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "part", "rows", "bytes"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results as if no asked window repeated, and the asked windows of the slice."""
+        """Results as if no asked window repeated, and the slice's spans whose windows are asked."""
         for b, said in _gathered(batches):
             data, at = raw(b.column("text"))
-            key, lo, hi, text = anchors(data, at, length, gram)
+            key, lo, hi, text, _ = anchors(data, at, length, gram)
             whole, asked = _expand(said, text, len(at) - 1)
             gone = _marked(data, lo[whole], hi[whole] + length - 1)
             rows = _result(data, at, gone)
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([*_columns(b.column("id"), rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*_columns(b.column("id"), rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
             if len(asked):
                 asked = np.sort(asked)
-                start, span = _each_window(lo, hi, asked)
-                ids = _ids(b)
-                # by anchor, since equal windows have equal ones: so a document's windows stay together
-                p = _pack(key[span], [span_hashes(data, start, start + length), ids[text[span]], start - at[text[span]]], WINDOW, parts)
+                start, count, ids = lo[asked], hi[asked] - lo[asked], _ids(b)
+                # by anchor, since equal windows have equal ones; bytes take less than the hashes of a span's windows
+                p = _pack(key[asked], [ids[text[asked]], start - at[text[asked]], count], ASKED, parts, data, start, count + length - 1)
                 n = p.num_rows
                 none = [pa.nulls(n, pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays([*none, pa.nulls(n, pa.string()), *p.columns], names)
 
-    first = ws.keep(joined.mapInArrow(first_pass, f"id long, {RESULT}, {kind}"), "first")
+    first = ws.keep(joined.mapInArrow(first_pass, f"id long, {RESULT}, {kind}, bytes binary"), "first")
     results = first.where("part is null").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, starts = _unpack(batches, WINDOW)
-        if len(key):
+        rows, texts = [], []
+        for b in batches:
+            rows.append(b)
+            texts += [_unsqueezed(x) for x in b.column("bytes").to_pylist()]
+        ids, starts, count = _unpack(iter(rows), ASKED)
+        if len(ids):
+            count = count.astype(np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            size = count + length - 1
+            at = _runs(np.cumsum(size) - size, count)
+            key = span_hashes(data, at, at + length)
+            ids, starts = np.repeat(ids, count), _runs(starts.astype(np.int64), count)
             again = _least_of(key, ids, np.argsort(key, kind="stable")) < ids
             yield _to_docs(ids[again], starts[again], 0, parts)
 
-    more = first.where("part is not null").select("part", "rows").repartition(parts, "part").mapInArrow(windows, kind)
+    more = first.where("part is not null").select("part", "rows", "bytes").repartition(parts, "part").mapInArrow(windows, kind)
     more = gathered(more, "windows").withColumnRenamed("spans", "windows")
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, said in _gathered(batches):
             data, at = raw(b.column("text"))
-            _, lo, hi, text = anchors(data, at, length, gram)
+            _, lo, hi, text, _ = anchors(data, at, length, gram)
             whole, _ = _expand(said, text, len(at) - 1)
             start = [a + (np.frombuffer(x, "<u4") >> 1).astype(np.int64) for a, x in zip(at.tolist(), b.column("windows").to_pylist())]
             start = np.concatenate(start) if start else np.zeros(0, np.int64)
