@@ -111,3 +111,27 @@ def test_round_trip(odd, tokenizer):
 
 def test_empty(empty):
     assert pack_documents(empty).collect() == []
+
+
+def test_a_task_holds_one_batch(monkeypatch):
+    """A batch of Spark's is let go before the next one is read, and is encoded in small slices."""
+    import types
+
+    import pyspark
+
+    from tributary.llm import packing as m
+
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    names, text = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "one two three, naïve four. " * 2000
+    sizes, held, base = [], [], pa.total_allocated_bytes()
+    encode = ChunkEncoder.encode_column
+    monkeypatch.setattr(ChunkEncoder, "encode_column", lambda self, c: sizes.append(sum(len(t) for t in c.to_pylist())) or encode(self, c))
+
+    def batches():
+        for i in range(3):
+            held.append(pa.total_allocated_bytes() - base)
+            yield pa.RecordBatch.from_arrays([pa.array(range(80 * i, 80 * i + 80)), pa.array([text] * 80)], ["id", "text"])
+
+    pieces = sum(b.num_rows for b in m._pack(default_path(), 4096, 1 << 16, 2, names)(batches()))
+    assert pieces >= 240 and sum(sizes) == 240 * len(text)
+    assert max(held) < 40 * len(text) and max(sizes) <= 1 << 20

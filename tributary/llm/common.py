@@ -198,13 +198,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         n = batch.num_rows
         if not n:
             continue
-        _, at = raw(batch.column(column))
+        at = raw(batch.column(column))[1]
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, min(j, n) - i)
             i = j
-        del at
+        del at, batch  # else it is held while the next one is read
     trim_memory()
 
 

@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, trim_memory
 from .tokenizing import default_path, encoder
 
 LENGTH, END_ID = 4096, 2
 SENTENCE_COST, CHUNK_COST = 12, 48
 STRIDE = 16
 BATCH_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once; results do not depend on it.
+SLICE = 1 << 20
 SCHEMA = "{id} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -131,11 +133,13 @@ def _pack(path: str, length: int, batch: int, end_id: int, names: list[str]):
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for b in slices(batches, "text", encoders=True):
+        for b in slices(batches, "text", SLICE, encoders=True):
             for doc_id, (ids, ends, stops) in zip(b.column("id").to_pylist(), coder.encode_column(b.column("text"))):
                 packer.add(doc_id, np.append(ids, np.uint32(end_id)).astype("<u4"), ends, stops)
+            del b, ids, ends, stops  # b holds Spark's whole batch
             if packer.rows:
                 yield out()
+                trim_memory()
         packer.pack(True)
         if packer.rows:
             yield out()

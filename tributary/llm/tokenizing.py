@@ -153,8 +153,7 @@ class ChunkEncoder:
         """
         data, at = raw(column)
         starts, ends, first = words(data, at)
-        high = np.concatenate([[0], np.cumsum(data >= 128)])
-        high = high[ends] > high[starts]
+        high = np.maximum.reduceat(data, starts) >= 128 if len(starts) else np.zeros(0, bool)  # only white space lies between words
         as_is = np.zeros(len(data) + 1, np.int8)
         as_is[starts[high]] += 1
         as_is[ends[high]] -= 1
