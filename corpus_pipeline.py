@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Workspace, scratch
+from tributary.llm.common import Workspace, scratch, small_batches
 from tributary.llm.linedup import line_repeats, without_lines
 from tributary.llm.mix import mix_documents, repeat_documents
 from tributary.llm.neardup import one_of_each_group
@@ -39,8 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
-    return pack_documents(docs)
+    """Pieces of documents in sequences of 4096 tokens; written here, where the batches' size can be set."""
+    with small_batches(spark):
+        return Workspace(spark, "packing").keep(pack_documents(docs))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near), ("mixing", mixing), ("packing", packing)]

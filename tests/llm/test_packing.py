@@ -135,3 +135,26 @@ def test_a_task_holds_one_batch(monkeypatch):
     pieces = sum(b.num_rows for b in m._pack(default_path(), 4096, 1 << 16, 2, names)(batches()))
     assert pieces >= 240 and sum(sizes) == 240 * len(text)
     assert max(held) < 40 * len(text) and max(sizes) <= 1 << 20
+
+
+def test_columns_share_what_is_known(tokenizer):
+    """Pieces are known from one column to the next, some forgotten between, and take few bytes each."""
+    import tracemalloc
+
+    rnd = random.Random(7)
+    pieces = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000)]
+    for kept in (50, 10**6):
+        coder = ChunkEncoder(default_path(), kept=kept)
+        for texts in ([], STRANGE, [" ".join(pieces[i : i + 30]) for i in range(0, 300, 20)], STRANGE + pieces[:100], [None, "", "A."], STRANGE):
+            want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert [x[0].tolist() for x in coder.encode_column(pa.array(texts, pa.string()))] == want
+            assert coder.count_column(pa.array(texts, pa.string())).tolist() == list(map(len, want))
+            assert [coder.count(t or "") for t in texts] == list(map(len, want))  # by strings, beside the columns
+
+    coder, column = ChunkEncoder(default_path()), pa.array([" ".join(pieces)])
+    tracemalloc.start()
+    try:
+        coder.encode_column(column)
+        assert tracemalloc.get_traced_memory()[0] < 100 * len(pieces)
+    finally:
+        tracemalloc.stop()

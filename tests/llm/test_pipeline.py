@@ -99,3 +99,23 @@ def test_odd_and_empty_tables(spark, odd, empty):
 
 def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "line dedup", "near-duplicates", "mixing", "packing"] and cp.ORACLE_SQL is None
+
+
+def test_packing_sends_small_batches(spark, monkeypatch):
+    """Few rows go to a worker at once, and the session's own setting holds again after that."""
+    from tributary.llm.common import ARROW_ROWS
+
+    def sizes(docs):
+        import pyarrow as pa
+
+        return docs.select("doc_id").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+
+    monkeypatch.setattr(cp, "pack_documents", sizes)
+    docs, before = spark.range(0, 3000, 1, 1).withColumnRenamed("id", "doc_id"), spark.conf.get(ARROW_ROWS)
+    try:
+        for own, most in ((before, 500), ("100", 100), ("0", 500)):
+            spark.conf.set(ARROW_ROWS, own)
+            rows = [r.n for r in cp.packing(spark, docs, "").collect()]
+            assert sum(rows) == 3000 and max(rows) == most and spark.conf.get(ARROW_ROWS) == own
+    finally:
+        spark.conf.set(ARROW_ROWS, before)

@@ -59,23 +59,32 @@ class Workspace:
         """Writes df as Parquet and returns the written table: lineage ends there and lost executors cost nothing."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        with _tidied(self.spark) if self.tidy else contextlib.nullcontext():
+        with _setting(self.spark, CLEANUP, "true") if self.tidy else contextlib.nullcontext():
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+#: Queries remove their shuffle files when they end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500
 
 
 @contextlib.contextmanager
-def _tidied(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside remove their shuffle files when they end."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Queries that run inside have this setting."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Queries that run inside send BATCH_ROWS rows to a Python worker at once, so that it and the JVM hold few texts."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    return _setting(spark, ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
 
 
 #: Workspaces that have not been removed.

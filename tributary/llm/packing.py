@@ -23,7 +23,7 @@ SENTENCE_COST, CHUNK_COST = 12, 48
 STRIDE = 16
 BATCH_TOKENS = 1 << 20
 #: Bytes of text that are encoded at once; results do not depend on it.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SCHEMA = "{id} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -70,6 +70,8 @@ class ChunkEncoder:
         self.pool = np.zeros(1 << 16, np.uint32)
         self.start, self.size, self.stop = (np.zeros(0, t) for t in (np.int64, np.int32, bool))
         self.used = 0
+        # pieces of columns are known by their hashes alone (ascending), which takes a third of what strings take
+        self.seen, self.seen_number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def parts(self, chunk: str) -> tuple[str, ...]:
         """The chunk's parts; a chunk that holds white space beyond ASCII has several."""
@@ -89,6 +91,7 @@ class ChunkEncoder:
         return (chunk.lower() if chunk.isascii() else chunk,)
 
     def learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks, which get the next numbers."""
         # a word of small Latin letters is one piece as it stands, so the model alone gives its ids
         tokens, simple = self.tokenizer.model.tokenize, LATIN.fullmatch if self.fine else lambda c: None
         lists = [tuple([t.id for t in tokens(c if c.isascii() else c.encode("utf-8").decode("latin-1").translate(LEVEL))]) if simple(c) else None for c in chunks]
@@ -97,7 +100,7 @@ class ChunkEncoder:
             known = self.part
             pairs = [m.groups() if self.fine and (m := WORD.fullmatch(chunks[i].lower())) else self.parts(chunks[i]) for i in rest]
             new = list(dict.fromkeys(x for x in chain.from_iterable(pairs) if x not in known))
-            if known and len(known) + len(new) > self.kept // 4:
+            if known and len(known) + len(new) > self.kept // 16:
                 known.clear()
                 new = list(dict.fromkeys(chain.from_iterable(pairs)))
             known[""] = ()
@@ -114,22 +117,37 @@ class ChunkEncoder:
         self.size = np.concatenate([self.size, size])
         self.stop = np.concatenate([self.stop, np.fromiter((c.endswith(FULL_STOP) for c in chunks), bool, len(chunks))])
         self.used += len(ids)
-        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's number. Forgets all chunks first when there are too many, so numbers hold until the next call."""
         found = list(map(self.number.get, chunks))
         if None in found:
             new = list(dict.fromkeys(c for c, i in zip(chunks, found) if i is None))
-            if self.number and len(self.number) + len(new) > self.kept:
+            if len(self.start) and len(self.start) + len(new) > self.kept:
                 self.clear()
-                self.learn(list(dict.fromkeys(chunks)))
-                found = list(map(self.number.__getitem__, chunks))
-            else:
-                self.learn(new)
-                found = [self.number[c] if i is None else i for i, c in zip(found, chunks)]
+                new, found = list(dict.fromkeys(chunks)), [None] * len(chunks)
+            n = len(self.start)
+            self.learn(new)
+            self.number.update(zip(new, range(n, n + len(new))))
+            found = [self.number[c] if i is None else i for i, c in zip(found, chunks)]
         return np.array(found, np.int64)
 
+    def numbers_of(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """numbers() of distinct spans of bytes by their hashes, which ascend; only new ones become strings."""
+        at = np.searchsorted(self.seen, hashes)
+        new = np.append(self.seen, np.uint64(0))[at] != hashes
+        new[at == len(self.seen)] = True
+        if new.any():
+            if len(self.start) and len(self.start) + int(new.sum()) > self.kept:
+                self.clear()
+                at[:], new[:] = 0, True
+            n, view = len(self.start), data.tobytes()
+            self.learn([view[i:j].decode("utf-8") for i, j in zip(begin[new].tolist(), stop[new].tolist())])
+            self.seen = np.insert(self.seen, at[new], hashes[new])
+            self.seen_number = np.insert(self.seen_number, at[new], np.arange(n, len(self.start), dtype=np.int32))
+            at += np.cumsum(new) - new
+        return self.seen_number[at].astype(np.int64)
+
     def split(self, text: str) -> list[str]:
         if not self.fine:
             return [text] if text else []
@@ -148,8 +166,8 @@ class ChunkEncoder:
         """Numbers of the pieces of all texts of a column, the first piece of each text, and which pieces end a chunk.
 
         Pieces are the chunks between ASCII white space; those of ASCII only have A-Z lower-cased and punctuation behind
-        a letter taken off, as the tokenizer does itself. (It composes accents before it lower-cases.) They are told apart by a 64-bit hash, so that only the
-        column's distinct ones are looked up.
+        a letter taken off, as the tokenizer does itself. (It composes accents before it lower-cases.) They are told apart by a 64-bit hash, here and
+        as long as they are kept, so that only the column's distinct ones are looked up.
         """
         data, at = raw(column)
         starts, ends, first = words(data, at)
@@ -172,9 +190,8 @@ class ChunkEncoder:
         begin, stop, last = np.empty(n, np.int64), np.empty(n, np.int64), np.ones(n, bool)
         begin[at_], stop[at_], last[at_] = starts, core, ~two
         begin[at_[two] + 1], stop[at_[two] + 1] = core[two], ends[two]
-        _, where, which = np.unique(span_hashes(data, begin, stop), return_index=True, return_inverse=True)
-        view = data.tobytes()
-        found = self.numbers([view[i:j].decode("utf-8") for i, j in zip(begin[where].tolist(), stop[where].tolist())])
+        hashes, where, which = np.unique(span_hashes(data, begin, stop), return_index=True, return_inverse=True)
+        found = self.numbers_of(hashes, data, begin[where], stop[where])
         return found[which], np.append(at_, n)[first], last
 
     def encode_column(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
