@@ -485,7 +485,7 @@ def topk_weighted(spark, d):
 
 @query("SELECT event_type, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS freqs FROM (SELECT event_type, user_id, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC) AS r FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)) WHERE r <= 5 GROUP BY event_type")
 def topk_sketch(spark, d):
-    """By the sketch; with fewer values than it holds its counts are exact."""
+    """By counts of all items: a sketch is sure of none where there are many more values than it holds."""
     return rows(spark, d, keys=TYPE, aggs={"t": A.topk_agg("user_id", 5)}).select("event_type", joined(S.topk_freqs("t")).alias("freqs"))
 
 
