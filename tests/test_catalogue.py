@@ -60,3 +60,18 @@ def test_rows_without_a_key(spark, keyless, name):
     """They are counted where the SQL takes the whole table, and not where it names batches by their keys."""
     d, c = keyless
     assert table(catalogue.queries()[name](spark, d).toPandas()) == table(c.execute(catalogue.oracle_sql()[name]).df())
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """Events of one kind with more values than sketches of the usual size hold, and a connection to them."""
+    d, c = tmp_path_factory.mktemp("many"), duckdb.connect()
+    c.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i // 2 AS user_id, 'view' AS event_type, (i * 7919 % 60000) / 1000 AS value, '{{\"k\": 1}}' AS props FROM range(100000) t(i)) TO '{d}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["bloom_tolerance", "bloom_sets_tolerance", "topk_sketch"])
+def test_many_values(spark, many, name):
+    d, c = many
+    assert table(catalogue.queries()[name](spark, d).toPandas()) == table(c.execute(catalogue.oracle_sql()[name]).df())

@@ -63,18 +63,35 @@ def hashed_positions(x: Column, m: int, k: int) -> list[Column]:
     return [F.pmod(a + F.lit(i) * b, F.lit(m)) for i in range(k)]
 
 
-def bloom_contains(bloom, x, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
-    """Whether the filter may hold x: false only if it was never added. False for a null filter or value."""
-    b, x = expr(bloom), expr(x)
+def bloom_layout(p: float = BLOOM_P, n: int = BLOOM_N) -> tuple[int, int, int]:
+    """Blocks, bits of a block that are used, and hash functions. All bits of a value are in one block."""
     m, k = bloom_shape(p, n)
-    hit = F.lit(True)
-    blocks = F.map_from_entries(b)
-    for pos in hashed_positions(x, m, k):
-        block = F.try_element_at(blocks, F.expr("0L") + F.floor(pos / BLOCK_BITS).cast("long"))
-        at = F.pmod(pos, F.lit(BLOCK_BITS))
+    blocks = math.ceil(m / BLOCK_BITS)
+    return blocks, math.ceil(m / blocks), k
+
+
+def bloom_block(x: Column, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
+    """The number of the block that a value is in."""
+    return F.pmod(F.xxhash64(F.lit(2), x), F.lit(bloom_layout(p, n)[0])).cast("long")
+
+
+def bloom_hit(block: Column, x: Column, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
+    """Whether the bits of x are set in the bitmap of its block. False for a null bitmap or value."""
+    _, width, k = bloom_layout(p, n)
+    hit = block.isNotNull() & x.isNotNull()
+    for at in hashed_positions(x, width, k):
         byte = F.conv(F.hex(F.substring(block, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = hit & (F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)), F.lit(0)) == 1)
-    return F.coalesce((b.isNotNull() & x.isNotNull()) & hit, F.lit(False))
+        hit = hit & (F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1)
+    return F.coalesce(hit, F.lit(False))
+
+
+def bloom_contains(bloom, x, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
+    """Whether the filter may hold x: false only if it was never added. False for a null filter or value.
+
+    This looks through the whole filter for each row; for many rows, join the filter's blocks by bloom_block and ask bloom_hit.
+    """
+    x = expr(x)
+    return bloom_hit(F.try_element_at(F.map_from_entries(expr(bloom)), bloom_block(x, p, n)), x, p, n)
 
 
 def bloom_bits(bloom) -> Column:
@@ -83,7 +100,8 @@ def bloom_bits(bloom) -> Column:
 
 def bloom_cardinality(bloom, p: float = BLOOM_P, n: int = BLOOM_N) -> Column:
     """About how many different values were added: -m ln(1 - bits / m) / k; 0 for null."""
-    m, k = bloom_shape(p, n)
+    blocks, width, k = bloom_layout(p, n)
+    m = blocks * width
     bits = bloom_bits(bloom).cast("double")
     estimate = F.round(-float(m) * F.log(1 - F.least(bits, F.lit(float(m - 1))) / m) / k)
     return F.coalesce(F.when(bits.isNotNull(), estimate), F.lit(0.0)).cast("long")

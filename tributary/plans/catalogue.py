@@ -448,26 +448,33 @@ def hll_functions_tolerance(spark, d):
 @query("SELECT event_type, true AS all_in, true AS few_false, true AS close FROM (SELECT DISTINCT event_type FROM events)")
 def bloom_tolerance(spark, d):
     """Membership of every value added, of as many that were not (5 percent at most), and the estimated number."""
-    v = rows(spark, d, keys=TYPE, aggs={"b": A.bloom_agg("event_id"), "n": A.count()})
-    e = table(spark, d, "events").select(F.col("event_type").alias("t"), "event_id")
-    probe = e.join(v, e["t"] == v["event_type"]).select("event_type", "n", "b", S.bloom_contains("b", "event_id").alias("hit"), S.bloom_contains("b", "event_id + 100000000L").alias("wrong"))
-    per = probe.groupBy("event_type").agg(F.bool_and("hit").alias("all_in"), (F.count_if("wrong") <= 0.05 * F.count("*")).alias("few_false"))
-    size = v.select(F.col("event_type").alias("t"), (F.abs(S.bloom_cardinality("b") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
-    return per.join(size, per["event_type"] == size["t"]).select("event_type", "all_in", "few_false", "close")
+    t = table(spark, d, "events")
+    size = max(S.BLOOM_N, t.groupBy("event_type").count().agg(F.max("count")).first()[0] or 0)
+    v = rows(spark, d, keys=TYPE, aggs={"b": A.bloom_agg("event_id", n=size), "n": A.count()})
+    blocks = v.select(F.col("event_type").alias("t"), F.explode("b").alias("e")).select("t", "e.k", "e.v")
+    probe = t.select("event_type", F.posexplode(F.expr("array(event_id, event_id + 100000000000L)")).alias("wrong", "x")).withColumn("at", S.bloom_block(F.col("x"), n=size))
+    hit = probe.join(blocks, F.col("event_type").eqNullSafe(F.col("t")) & (F.col("at") == F.col("k")), "left").select("event_type", "wrong", S.bloom_hit(F.col("v"), F.col("x"), n=size).alias("hit"))
+    per = hit.groupBy("event_type").agg(F.bool_and(F.col("hit") | (F.col("wrong") == 1)).alias("all_in"), (F.count_if(F.col("hit") & (F.col("wrong") == 1)) <= 0.05 * F.count_if(F.col("wrong") == 1)).alias("few_false"))
+    close = v.select(F.col("event_type").alias("t"), (F.abs(S.bloom_cardinality("b", n=size) - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+    return per.join(close, per["event_type"].eqNullSafe(close["t"])).select("event_type", "all_in", "few_false", "close")
 
 
 @query("SELECT true AS either, true AS neither, true AS fewer")
 def bloom_sets_tolerance(spark, d):
     """The union of two filters has what either has; their intersection what both have and hardly more."""
-    v = View("v", keys={"g": "1"}, aggs={"a": A.bloom_agg("event_id").where("event_id % 2 = 0"), "b": A.bloom_agg("event_id").where("event_id % 3 = 0")})
-    for b in batches(table(spark, d, "events"), "event_id"):
+    t = table(spark, d, "events")
+    size = max(S.BLOOM_N, t.count())
+    v = View("v", keys={"g": "1"}, aggs={"a": A.bloom_agg("event_id", n=size).where("event_id % 2 = 0"), "b": A.bloom_agg("event_id", n=size).where("event_id % 3 = 0")})
+    for b in batches(t, "event_id"):
         v.ingest(b)
     two = v.read().select(F.explode(F.array("a", "b")).alias("x"))
     sets = View("s", aggs={"u": A.bloom_union_agg("x"), "i": A.bloom_intersection_agg("x")})
     sets.ingest(two)
-    e = table(spark, d, "events").select("event_id").crossJoin(sets.read())
+    bits = sets.read().select(F.posexplode(F.array("u", "i")).alias("s", "b")).select("s", F.explode("b").alias("e"))
+    blocks = bits.groupBy("e.k").agg(*[F.max(F.when(F.col("s") == i, F.col("e.v"))).alias(c) for i, c in enumerate("ui")])
+    e = t.select("event_id", S.bloom_block(F.col("event_id"), n=size).alias("at")).join(blocks, F.col("at") == F.col("k"), "left")
     both, any_ = "event_id % 6 = 0", "(event_id % 2 = 0 OR event_id % 3 = 0)"
-    hit_u, hit_i = S.bloom_contains("u", "event_id"), S.bloom_contains("i", "event_id")
+    hit_u, hit_i = (S.bloom_hit(F.col(c), F.col("event_id"), n=size) for c in ("u", "i"))
     return e.select(hit_u.alias("hu"), hit_i.alias("hi"), F.expr(both).alias("both"), F.expr(any_).alias("any")).agg(F.bool_and(~F.col("any") | F.col("hu")).alias("either"), F.bool_and(~F.col("both") | F.col("hi")).alias("neither"), (F.count_if(F.col("hi") & ~F.col("both")) <= 0.1 * F.count("*")).alias("fewer"))
 
 
