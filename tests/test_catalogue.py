@@ -71,7 +71,7 @@ def many(tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["bloom_tolerance", "bloom_sets_tolerance", "topk_sketch"])
+@pytest.mark.parametrize("name", ["bloom_tolerance", "bloom_sets_tolerance", "sql_sketches_tolerance", "topk_sketch"])
 def test_many_values(spark, many, name):
     d, c = many
     assert table(catalogue.queries()[name](spark, d).toPandas()) == table(c.execute(catalogue.oracle_sql()[name]).df())

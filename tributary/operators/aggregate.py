@@ -39,6 +39,9 @@ class Agg:
     ordered: bool = False
     #: Made from the columns that `combine` names; None means that states cannot be combined by users.
     combinable: bool = True
+    #: What the states are made of. Aggregates of one view where it is equal share a state, since sketches that are
+    #: merged at random would else differ; None is equal to none.
+    same: tuple | None = None
 
     def where(self, condition: Column | str) -> Agg:
         """The aggregate over rows that meet the condition only."""
@@ -65,7 +68,7 @@ class Agg:
         if not self.combinable:
             raise ValueError(f"{self.name} has no state that can be combined")
         make = lambda p, n: (lambda keep: p.merge(keep(F.col(struct)[n])))
-        return replace(self, parts=tuple(Part(p.suffix, make(p, n), p.merge) for p, n in zip(self.parts, self.columns(alias))), condition=None, ordered=False)
+        return replace(self, parts=tuple(Part(p.suffix, make(p, n), p.merge) for p, n in zip(self.parts, self.columns(alias))), condition=None, ordered=False, same=None)
 
 
 @dataclass(frozen=True)
@@ -138,24 +141,37 @@ def _joined(base: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(renamed, on, "left").drop(*[f"_j{i}" for i in range(len(keys))])
 
 
+def _alike(aggs: dict[str, Agg]) -> dict[str, str]:
+    """Each aggregate's name to that of the first with the same states, which is its own if there is none."""
+    first: dict[tuple, str] = {}
+    return {a: a if agg.same is None or agg.condition is not None else first.setdefault(agg.same, a) for a, agg in aggs.items()}
+
+
+def _state_columns(aggs: dict[str, Agg]) -> list[Column]:
+    alike = _alike(aggs)
+    return [F.col(made).alias(c) for a, agg in aggs.items() for made, c in zip(agg.columns(alike[a]), agg.columns(a))]
+
+
 def partial_states(df: DataFrame, keys: list[str], aggs: dict[str, Agg]) -> DataFrame:
     """One row for each group of df: its keys and the states of all aggregates."""
-    plain = [c for a, agg in aggs.items() if not isinstance(agg, FrameAgg) for c in agg.partial(a)]
+    alike = _alike(aggs)
+    plain = [c for a, agg in aggs.items() if not isinstance(agg, FrameAgg) and alike[a] == a for c in agg.partial(a)]
     frames = {a: agg for a, agg in aggs.items() if isinstance(agg, FrameAgg)}
     out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
     for a, agg in frames.items():
         out = _joined(out, agg.partial_frame(df, keys, agg.columns(a)[0]), keys)
-    return out.select(*keys, *[c for a, agg in aggs.items() for c in agg.columns(a)])
+    return out.select(*keys, *_state_columns(aggs))
 
 
 def merge_states(states: DataFrame, keys: list[str], aggs: dict[str, Agg]) -> DataFrame:
     """States of the same groups made one."""
-    plain = [c for a, agg in aggs.items() if not isinstance(agg, FrameAgg) for c in agg.merged(a)]
+    alike = _alike(aggs)
+    plain = [c for a, agg in aggs.items() if not isinstance(agg, FrameAgg) and alike[a] == a for c in agg.merged(a)]
     frames = {a: agg for a, agg in aggs.items() if isinstance(agg, FrameAgg)}
     out = states.groupBy(*keys).agg(*plain) if plain else states.select(*keys).distinct()
     for a, agg in frames.items():
         out = _joined(out, agg.merge_frame(states, keys, agg.columns(a)[0]), keys)
-    return out.select(*keys, *[c for a, agg in aggs.items() for c in agg.columns(a)])
+    return out.select(*keys, *_state_columns(aggs))
 
 
 def finish(states: DataFrame, keys: list[str], aggs: dict[str, Agg]) -> DataFrame:

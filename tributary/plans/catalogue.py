@@ -745,9 +745,11 @@ def sql_aggregates(spark, d):
 
 @query("SELECT event_type, true AS users, true AS median, true AS held, false AS absent, true AS often, 5 AS n_top, min(value) AS lo FROM events GROUP BY event_type")
 def sql_sketches_tolerance(spark, d):
-    """Sketches made by a view and asked by SQL, within their bounds."""
-    e = _by_sql(spark, d, "CREATE VIEW v AS SELECT event_type, count(*) AS n, min(value) AS lo, hll_agg(user_id) AS h, dist_agg(value) AS t, bloom_agg(user_id) AS b, freq_agg(user_id) AS f, topk_agg(user_id, 5) AS k, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p, exact_count_distinct(user_id) AS u, max(user_id) AS hi FROM events GROUP BY event_type")
-    return SQL.run(e, """SELECT event_type, abs(hll_cardinality(h) - u) <= 0.02 * u AS users, dist_quantile(t, 0.5) = p AND dist_cdf(t, 1000) = 1 AND dist_cdf(t, 20) BETWEEN 0.2 AND 0.8 AS median, bloom_contains(b, hi) AS held, bloom_contains(b, hi + 1000000000) AS absent,
+    """Sketches made by a view and asked by SQL, within their bounds. The filter's size is of the data, its rate such that no value asked is a false one."""
+    size = max(S.BLOOM_N, table(spark, d, "events").agg(F.count_distinct("user_id")).first()[0])
+    shape = f"0.000001, {size}"
+    e = _by_sql(spark, d, f"CREATE VIEW v AS SELECT event_type, count(*) AS n, min(value) AS lo, hll_agg(user_id) AS h, dist_agg(value) AS t, bloom_agg(user_id, {shape}) AS b, freq_agg(user_id) AS f, topk_agg(user_id, 5) AS k, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p, exact_count_distinct(user_id) AS u, max(user_id) AS hi FROM events GROUP BY event_type")
+    return SQL.run(e, f"""SELECT event_type, abs(hll_cardinality(h) - u) <= 0.02 * u AS users, dist_quantile(t, 0.5) = p AND dist_cdf(t, 1000) = 1 AND dist_cdf(t, 20) BETWEEN 0.2 AND 0.8 AS median, bloom_contains(b, hi, {shape}) AS held, bloom_contains(b, hi + 1000000000, {shape}) AS absent,
     freq(f, topk_values(k)[0]) BETWEEN topk_freqs(k)[0] AND topk_freqs(k)[0] + 0.01 * n AND freq_total(f) = n AS often, size(topk_values(k)) AS n_top, dist_quantile(t, 0) AS lo FROM v""")
 
 
