@@ -75,3 +75,18 @@ def many(tmp_path_factory):
 def test_many_values(spark, many, name):
     d, c = many
     assert table(catalogue.queries()[name](spark, d).toPandas()) == table(c.execute(catalogue.oracle_sql()[name]).df())
+
+
+def test_json_object_is_not_sorted_by_one_task(spark, many, monkeypatch):
+    """The batch stays in order of event_id over several partitions."""
+    d, c = many
+    batches, ingest = [], catalogue.View.ingest
+    monkeypatch.setattr(catalogue.View, "ingest", lambda self, batch, *a, **b: (batches.append(batch), ingest(self, batch, *a, **b))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalogue.queries()["jsonb_object_agg"](spark, d).toPandas()
+        ids = batches[0].select("event_id").rdd.glom().map(lambda rows: [r[0] for r in rows]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert table(got) == table(c.execute(catalogue.oracle_sql()["jsonb_object_agg"]).df())
+    assert len(ids) > 1 and [i for p in ids for i in p] == list(range(100000))

@@ -324,7 +324,7 @@ def jsonb_object_agg(spark, d):
     """The last value of each key: batches in order of event_id, rows in order within."""
     view = View("v", keys=TYPE, aggs={"o": A.jsonb_object_agg("CAST(user_id % 4 AS string)", "event_id")})
     t = table(spark, d, "events")
-    view.ingest(t.coalesce(1).sortWithinPartitions("event_id"))
+    view.ingest(t.orderBy("event_id"))
     return view.read()
 
 
