@@ -90,3 +90,11 @@ def test_json_object_is_not_sorted_by_one_task(spark, many, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert table(got) == table(c.execute(catalogue.oracle_sql()["jsonb_object_agg"]).df())
     assert len(ids) > 1 and [i for p in ids for i in p] == list(range(100000))
+
+
+def test_frequencies_are_joined(spark, many):
+    """No map of the whole sketch is built for each user."""
+    d, c = many
+    df = catalogue.queries()["freq_tolerance"](spark, d)
+    assert "map_from_entries" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert table(df.toPandas()) == table(c.execute(catalogue.oracle_sql()["freq_tolerance"]).df())

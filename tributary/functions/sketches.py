@@ -152,7 +152,10 @@ def cms_cells(x: Column, eps: float, p: float) -> list[Column]:
 
 
 def freq(sketch, x, eps: float = CMS_EPS, p: float = CMS_P) -> Column:
-    """How often x was added, or somewhat more; 0 for null."""
+    """How often x was added, or somewhat more; 0 for null.
+
+    This looks through the whole sketch for each row; for many rows, join its cells by cms_cells and take the least count.
+    """
     s, x = expr(sketch), expr(x)
     cells = F.map_from_entries(s)
     found = [F.coalesce(F.try_element_at(cells, c), F.lit(0)) for c in cms_cells(x, eps, p)]

@@ -521,9 +521,14 @@ def freq_tolerance(spark, d):
     v = View("v", aggs={"f": A.freq_agg("user_id")})
     for b in batches(table(spark, d, "events"), "event_id"):
         v.ingest(b)
-    per = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).crossJoin(v.read())
-    f = S.freq("f", "user_id")
-    return per.agg(F.bool_and(f >= F.col("n")).alias("upper"), F.bool_and(f <= F.col("n") + 0.002 * S.freq_total("f")).alias("close"), F.max(S.freq_total("f")).alias("total"), F.max(S.freq("f", F.lit(None).cast("bigint"))).alias("of_null"))
+    per = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    # as S.freq, but cells are joined: it would build a map of the whole sketch for each user
+    cells = v.read().select(F.explode("f").alias("c")).select("c.k", "c.v")
+    asked = per.select("user_id", "n", F.explode(F.array(*S.cms_cells(F.col("user_id"), S.CMS_EPS, S.CMS_P))).alias("at"))
+    found = asked.join(F.broadcast(cells), F.col("at") == F.col("k"), "left").groupBy("user_id").agg(F.max("n").alias("n"), F.min(F.when(F.col("user_id").isNotNull(), F.coalesce("v", F.lit(0)))).alias("f"))
+    whole = v.read().select(S.freq_total("f").alias("total"), S.freq("f", F.lit(None).cast("bigint")).alias("of_null"))
+    f, n = F.coalesce("f", F.lit(0)), F.col("n")
+    return found.crossJoin(F.broadcast(whole)).agg(F.bool_and(f >= n).alias("upper"), F.bool_and(f <= n + 0.002 * F.col("total")).alias("close"), F.max("total").alias("total"), F.max("of_null").alias("of_null"))
 
 
 # ranks, keyed values, first values, buckets
